@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, licenses, mixing, quality, urls
+from quillon.llm import chat, decontamination, html, licenses, linededup, minhash, mixing, quality, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
@@ -29,10 +33,18 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -41,13 +53,21 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filters": op6_url_filters,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_scans": op8_license_scans,
     "op9_mixing_sources": op9_mixing_sources,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 _OP4 = r"""
@@ -116,4 +136,59 @@ SELECT doc_id, size, source_size, target,
        CAST((sure + CASE WHEN q IS NOT NULL AND upto - tied / 2.0 <= need THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """
 
-ORACLE: dict[str, str] = {"op4_chat_formatting": _OP4, "op6_url_filters": _OP6, "op9_mixing_sources": _OP9}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP5 = rf"""
+WITH iw AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM iw, range(1, greatest(len(w) - 10, 0) + 2) t(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win), dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), dg AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM dw, sizes, range(1, len(w) - n + 2) t(i)
+), m AS (SELECT doc_id, i, n, item_id FROM dg JOIN win USING (n, g)), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM m), range(i, i + n) t(j) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+_OP7 = rf"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (
+  SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS k
+  FROM s, range(1, len(ls) + 1) t(i)
+), rep AS (SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (holder <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN rep USING (k) GROUP BY doc_id
+"""
+
+_OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM w, range(1, greatest(len(w) - 5, 0) + 2) t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach AS (SELECT doc_id AS d, doc_id AS r FROM w UNION SELECT reach.d, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, min(r) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.d = w.doc_id GROUP BY w.doc_id, n
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": _OP4,
+    "op5_benchmark_decontamination": _OP5,
+    "op6_url_filters": _OP6,
+    "op7_line_dedup": _OP7,
+    "op9_mixing_sources": _OP9,
+    "op10_minhash_near_dedup": _OP10,
+}
