@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, prepare
+from quillon.llm.minhash import shingles
 
 #: At most so many labelled rows, those with the smallest hash of their id, teach the lexicon and the scale.
 SAMPLE_ROWS = 12_000
+#: Sampled rows that share the least shingle under one of so many permutations count as copies of the first of them.
+COPY_KEYS = 4
 #: Terms are whole words or beginnings of words with so many letters.
 STEM_MIN, STEM_MAX = 3, 8
 #: Share of a term's documents that must be toxic, and the risk of a chance finding among all candidates.
@@ -166,7 +169,16 @@ def learn(
         .limit(sample_rows)
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    some = texts.join(F.broadcast(named), "i").select("t", "y")  # bounded by sample_rows ids
+    some = texts.join(F.broadcast(named), "i")  # bounded by sample_rows ids
+    kind = some.schema["i"].dataType.simpleString()
+
+    def keys(batch: pa.RecordBatch) -> dict:
+        found = pa.array(map(_copy_keys, batch.column("t").to_pylist()), pa.list_(pa.int64()))
+        return {"i": batch.column("i"), "y": batch.column("y"), "keys": found}
+
+    once = _without_copies(map_arrow(some.select("i", "y", "t"), f"i {kind}, y int, keys array<long>", keys).collect())
+    named = docs.sparkSession.createDataFrame(once, f"i {kind}, y int")
+    some = texts.join(F.broadcast(named), "i").select("t", "y")
 
     def count(batches):
         both = (Counter(), Counter())
@@ -244,6 +256,27 @@ def _contexts(folded: str, lexicon: Lexicon) -> list[str]:
     return out
 
 
+def _copy_keys(text: str | None) -> list[int]:
+    """Least hashes of the five-word shingles under COPY_KEYS permutations; one key for texts without words."""
+    found = shingles(text)
+    if not len(found):
+        return [0]
+    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(1, COPY_KEYS + 1)]
+    return [int((found * m).min() >> np.uint64(1)) for m in odd]
+
+
+def _without_copies(rows: list) -> list[tuple[object, int]]:
+    """(id, label) of the sampled rows that share no key with an earlier one, so that a copied text teaches once."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for r in sorted(rows, key=lambda r: str(r["i"])):
+        keys = set(enumerate(r["keys"]))
+        if not keys & seen:
+            out.append((r["i"], r["y"]))
+        seen |= keys
+    return out
+
+
 def held_out(key: F.Column) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
