@@ -38,6 +38,10 @@ PATTERNS = (
 )
 
 
+#: Rule tokens up to this many are broadcast when their frequencies are counted; more are met in a join.
+BROADCAST_TOKENS = 100_000
+
+
 @dataclass(frozen=True)
 class UrlRule:
     verdict: str
@@ -124,6 +128,8 @@ def token_frequency(pages: DataFrame, tokens: set[str], url_col: str = "url") ->
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(f"`{url_col}`"), F.lit(_URL_TOKEN), F.lit(0)))).alias("t")
     )
     names = pages.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "t string")
+    if len(tokens) <= BROADCAST_TOKENS:
+        names = F.broadcast(names)
     return {r["t"]: r["n"] for r in seen.join(names, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
