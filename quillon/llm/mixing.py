@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Ranks are first counted in so many cells per source; only the cell with the threshold is sorted.
 CELLS = 4096
+#: Sources up to this many are broadcast with their targets; more are met in a join.
+BROADCAST_SOURCES = 50_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,13 +85,15 @@ def mix(
     ]
     # texts are counted once; ids, sources and sizes serve all that follows
     base = table(docs.select(*read), "mix")
-    sizes = base.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
+    sizes = table(base.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size")), "sources")
     share = targets(sizes, weights).select(
         F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("__s"),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__ratio"),
     )
+    n_sources = sizes.count()
+    small = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     share = share.withColumns({"__sure": F.floor("__ratio").cast("long"), "__p": F.col("__ratio") - F.floor("__ratio")})
     named = F.struct(F.col("__source").isNull().alias("none"), F.coalesce("__source", F.lit("")).alias("name"))
     u = uniform(F.col("doc_id"), seed)
@@ -97,7 +101,7 @@ def mix(
     odds = (u / (1 - u)) / (p / (1 - p))
 
     def rank(df: DataFrame) -> DataFrame:
-        out = df.withColumn("__s", named).drop("__source").join(share, "__s").withColumn("__q", F.when(p > 0, odds))
+        out = df.withColumn("__s", named).drop("__source").join(small(share), "__s").withColumn("__q", F.when(p > 0, odds))
         return out.withColumn("__cell", F.floor(F.col("__q") / (1 + F.col("__q")) * cells).cast("int"))
 
     ranked = rank(base)
@@ -109,7 +113,8 @@ def mix(
     edge = per.where("__past <= __need and __need < __past + __sum").select(
         F.col("__s").alias("__es"), F.col("__cell").alias("__ec"), "__past", "__need"
     )
-    edges = ranked.join(edge, (F.col("__s") == F.col("__es")) & (F.col("__cell") == F.col("__ec")))
+    # each of these has a row per source at most
+    edges = ranked.join(small(edge), (F.col("__s") == F.col("__es")) & (F.col("__cell") == F.col("__ec")))
     ties = edges.groupBy("__s", "__q").agg(F.sum("size").alias("__sum"), F.first("__past").alias("__past"), F.first("__need").alias("__need"))
     run = F.col("__past") + F.sum("__sum").over(Window.partitionBy("__s").orderBy("__q"))
     cut = (
@@ -124,7 +129,7 @@ def mix(
     if keep:
         kept = [F.col(f"`{c}`").alias(f"__keep_{k}") for k, c in enumerate(keep)]
         ranked = rank(docs.select(*read, *kept))
-    done = ranked.join(ends, "__s", "left")
+    done = ranked.join(small(ends), "__s", "left")
     one = F.col("__q").isNotNull() & (
         (F.col("__cell") < F.col("__edge")) | ((F.col("__cell") == F.col("__edge")) & F.coalesce(F.col("__q") <= F.col("__top"), F.lit(False)))
     )
