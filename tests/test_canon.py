@@ -1,0 +1,163 @@
+"""Parsing, rendering, numbers and types of document values."""
+
+import json
+import math
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillon.functions import canon
+from quillon.functions.canon import DocError, canonical, format_double, parse, type_name
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"b":1,"a":1,"b":2,"a":3,"c":9}', '{"a":3,"b":2,"c":9}'),
+        (' { "a" : [ 1 , 2 ] } ', '{"a":[1,2]}'),
+        ("42", "42"),
+        ('"just a string"', '"just a string"'),
+        ("null", "null"),
+        ('"\\u00e9\\ud83d\\ude00"', '"é😀"'),
+        ('"a/b\\u007f\\u0001\\n"', '"a/b\x7f\\u0001\\n"'),
+        ("1.50", "1.50"),
+        ("1e3", "1e3"),
+        ("-0", "0"),
+        ("-0.0", "-0.0"),
+        ("9223372036854775808", "9223372036854775808"),
+        ("123456789012345678901234567890123456789012", "123456789012345678901234567890123456789012"),
+        ('{"x":1.10,"a":"\\u0000N1"}', '{"a":"\\u0000N1","x":1.10}'),
+    ],
+)
+def test_canonical(text, want):
+    assert canonical(text) == want
+    assert canonical(want) == want
+
+
+@pytest.mark.parametrize(
+    "text", ["", "  ", "{", "[1,]", "{'a':1}", "NaN", "[Infinity]", '"\\ud800"', "01", "1.", "﻿1", '"a\nb"', "1 2", "nul"]
+)
+def test_rejected(text):
+    with pytest.raises(DocError):
+        parse(text)
+
+
+def test_empty_message():
+    with pytest.raises(DocError, match="input is empty"):
+        parse("")
+
+
+def test_depth():
+    assert canonical("[" * 1000 + "]" * 1000) == "[" * 1000 + "]" * 1000
+    with pytest.raises(DocError, match="nesting depth exceeds maximum"):
+        parse("[" * 1001 + "]" * 1001)
+    flat = "[" + ",".join(["[1]"] * 1500) + "]"
+    assert canonical(flat) == flat
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1", "BIGINT"),
+        ("9223372036854775807", "BIGINT"),
+        ("9223372036854775808", "UBIGINT"),
+        ("18446744073709551616", "DOUBLE"),
+        ("-9223372036854775809", "DOUBLE"),
+        ("1.0", "DOUBLE"),
+        ("1e0", "DOUBLE"),
+        ('"x"', "VARCHAR"),
+        ("true", "BOOLEAN"),
+        ("null", "NULL"),
+        ("{}", "OBJECT"),
+        ("[]", "ARRAY"),
+    ],
+)
+def test_types(text, want):
+    assert type_name(parse(text)) == want
+
+
+@pytest.mark.parametrize(
+    ("x", "want"),
+    [
+        (1e16, "10000000000000000.0"),
+        (1e20, "100000000000000000000.0"),
+        (1e21, "1e21"),
+        (1e308, "1e308"),
+        (1e-5, "0.00001"),
+        (1e-7, "1e-7"),
+        (123.0, "123.0"),
+        (-0.0, "-0.0"),
+        (2.5, "2.5"),
+        (1.5e-9, "1.5e-9"),
+    ],
+)
+def test_double(x, want):
+    assert format_double(x) == want
+
+
+def test_double_non_finite():
+    for x in (math.inf, -math.inf, math.nan):
+        with pytest.raises(DocError, match="non-finite"):
+            format_double(x)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.floats(allow_nan=False, allow_infinity=False))
+def test_double_reads_back(x):
+    assert float(format_double(x)) == x
+
+
+def test_double_as_duckdb_writes_it():
+    import random
+
+    rng = random.Random(4)
+    some = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 25) for _ in range(400)]
+    con = duckdb.connect()
+    con.execute("create table t(x double)")
+    con.executemany("insert into t values (?)", [[x] for x in some])
+    got = con.execute("select x, cast(to_json(x) as varchar) from t").fetchall()
+    bad = [(x, w, format_double(x)) for x, w in got if format_double(x) != w]
+    assert not bad, bad[:5]
+
+
+leaf = st.one_of(
+    st.none(),
+    st.booleans(),
+    st.integers(-(2**70), 2**70),
+    st.text(max_size=8),
+    st.sampled_from([2**59, 2**63 - 1, 2**63, 2**64 - 1, 2**64, -(2**63)]),
+)
+docs = st.recursive(leaf, lambda s: st.one_of(st.lists(s, max_size=4), st.dictionaries(st.text(max_size=5), s, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(docs)
+def test_round_trip(value):
+    try:
+        text = json.dumps(value)
+        text.encode()
+        once = canonical(text)
+    except (DocError, UnicodeEncodeError):
+        return
+    assert canonical(once) == once
+    assert json.loads(once) == value
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30))
+def test_any_text_parses_or_fails_cleanly(text):
+    try:
+        canonical(text)
+    except DocError:
+        pass
+
+
+def test_keys_are_sorted_by_code_point():
+    assert canonical('{"é":1,"z":2,"😀":3,"Z":4,"":5}') == '{"":5,"Z":4,"z":2,"é":1,"😀":3}'
+
+
+def test_mark_in_strings_does_not_confuse_numbers():
+    v = {"a": canon.Num("1.5"), "b": "\x00N2.5"}
+    assert canon.render(v) == '{"a":1.5,"b":"\\u0000N2.5"}'
