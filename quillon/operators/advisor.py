@@ -29,7 +29,7 @@ _FACT = T.StructType(
 def _name(keys: tuple[str, ...]) -> str:
     if len(keys) == 1 and keys[0] != "body" and not keys[0].startswith("$"):
         return keys[0]
-    return "$" + "".join(f'."{k}"' if i == 0 and len(keys) == 1 else f".{P.key_text(k)}" for i, k in enumerate(keys))
+    return P.text(keys)
 
 
 def _fits(v) -> list[int]:
