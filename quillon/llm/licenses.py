@@ -35,13 +35,18 @@ COVER = 0.75
 #: Diagonals this close belong to one place: so many words inserted or lost.
 GAP = 2
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words of letters with A-Z lower-cased, digits and all above 0x7F; none of null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
+    """Words of letters with A-Z lower-cased, digits and all above 0x7F; none of null.
+
+    lower() also changes other letters, which is of no matter to phrases of ASCII letters, but for the Kelvin sign,
+    the one letter that it would turn into ASCII alone; another letter stands in for it.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))
+    # splitting takes one pass, whereas each match of regexp_extract_all copies the text
+    return F.array_remove(F.split(F.lower(plain), _GAP, -1), "")
 
 
 def gram(w: Column, i: Column, k: int = K) -> Column:
@@ -104,8 +109,12 @@ def match_templates(docs: DataFrame) -> DataFrame:
     All grams of all texts meet the template grams in a join; votes gather by diagonal, that is by place in the text
     less place in the template; diagonals within GAP words form one span, whose covered template words are counted.
     """
-    grams = F.transform("__w", lambda _, i: gram(F.col("__w"), i))
-    rolled = docs.select("__key", F.posexplode(grams).alias("__pos", "__g"))
+    # places are generated and hashed within generated code; an outer explode keeps Spark from also evaluating the words
+    # in a filter of its own
+    last = F.size("__w") - K
+    places = F.when(last >= 0, F.sequence(F.lit(0), last))
+    rolled = docs.select("__key", "__w", F.explode_outer(places).alias("__pos")).where("__pos is not null")
+    rolled = rolled.select("__key", "__pos", gram(F.col("__w"), F.col("__pos")).alias("__g"))
     # the template table has a fixed number of rows, whatever the size of docs
     votes = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "__g")
     diagonals = votes.groupBy("__key", "__t", "__label", "__tn", (F.col("__pos") - F.col("__at")).alias("__d")).agg(
