@@ -15,11 +15,12 @@ MOST = 3
 CELLS = 4096
 #: Sources up to this many are broadcast with their targets; more are met in a join.
 BROADCAST_SOURCES = 50_000
-_WORD = r"[^\x20\x09-\x0D]+"
+_GAP = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    # splitting takes one pass, whereas each match of regexp_count copies the text
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAP, -1), "")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
