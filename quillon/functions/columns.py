@@ -153,6 +153,72 @@ def extract_many(document: Column | str, paths: dict[str, str | int]) -> Column:
     return _udf(kind, at, _col(document))
 
 
+# several reads from one parse
+
+
+class Read:
+    """One read at a path: what it makes of the value there (NULL if there is none), and its type."""
+
+    def __init__(self, path, kind: T.DataType, fn: Callable):
+        self.steps = () if path is None else P.of(path)
+        self.path, self.spark_type, self.fn = path, kind, fn
+
+    def of(self, tree):
+        v = P.get(tree, self.steps)
+        return None if v is P.MISSING else self.fn(v)
+
+
+def text_at(path) -> Read:
+    return Read(path, TEXT, canon.text_of)
+
+
+def doc_at(path) -> Read:
+    return Read(path, TEXT, canon.render)
+
+
+def type_at(path=None) -> Read:
+    return Read(path, TEXT, canon.type_name)
+
+
+def keys_at(path=None) -> Read:
+    return Read(path, TEXTS, lambda v: sorted(v) if isinstance(v, dict) else None)
+
+
+def length_at(path=None) -> Read:
+    return Read(path, T.LongType(), lambda v: len(v) if isinstance(v, list) else None)
+
+
+def elements_at(path=None) -> Read:
+    return Read(path, TEXTS, lambda v: [canon.render(x) for x in v] if isinstance(v, list) else None)
+
+
+def typed_at(path, kind: str) -> Read:
+    kind = coerce.type_of(kind)
+    return Read(path, S._SPARK[kind], lambda v: coerce.coerce(v, kind, "convert", str(path)))
+
+
+def _reads_type(reads: dict[str, Read]) -> T.StructType:
+    return T.StructType([T.StructField(n, r.spark_type) for n, r in reads.items()])
+
+
+def read(document: Column | str, reads: dict[str, Read], spec: dict | S.Spec | None = None) -> Column:
+    """A struct of several reads from one parse (and, with spec, one reconstruction) of each document."""
+    if spec is None:
+
+        def at(text: str) -> dict:
+            tree = canon.parse(text)
+            return {n: r.of(tree) for n, r in reads.items()}
+
+        return _udf(_reads_type(reads), at, _col(document))
+    made = S.Spec.of(spec)
+
+    def whole(row: dict) -> dict:
+        tree = S.reconstruct_tree(row, made, canon.parse)
+        return {n: r.of(tree) for n, r in reads.items()}
+
+    return _udf(_reads_type(reads), whole, _col(document))
+
+
 # transform
 
 
@@ -394,6 +460,18 @@ def diff(prev: Column | str, cur: Column | str, arrays: str = "atomic") -> Colum
     return _all(TEXT, change, _col(prev), _col(cur))
 
 
+def diff_shredded(prev: Column | str, cur: Column | str, spec: dict | S.Spec, arrays: str = "atomic") -> Column:
+    """As diff, for two documents shredded by spec, which are reconstructed and compared in one step."""
+    mode, made = algebra.array_mode(arrays), S.Spec.of(spec)
+
+    def change(a: dict | None, b: dict | None) -> str:
+        x = algebra.NULL if a is None else S.reconstruct_tree(a, made, canon.parse)
+        y = algebra.NULL if b is None else S.reconstruct_tree(b, made, canon.parse)
+        return canon.render(algebra.diff(x, y, mode))
+
+    return _all(TEXT, change, _col(prev), _col(cur))
+
+
 # lanes
 
 

@@ -102,6 +102,17 @@ class Reader:
         how = "plain" if hows == {"plain"} else "residual" if hows == {"residual"} else "reconstruct"
         return C.extract_strings(self._source(how), paths)
 
+    def read(self, reads: dict[str, C.Read]) -> Column:
+        """A struct of several reads (C.text_at and the like) from at most one parse of each document.
+
+        On shredded documents, reads that no lane touches need the residual alone; any other reconstructs once for all.
+        """
+        if self.spec is None:
+            return C.read(self.col, reads)
+        if all(r.path is not None and self.classify(r.path) == "residual" for r in reads.values()):
+            return C.read(self.col["residual"], reads)
+        return C.read(self.col, reads, self.spec)
+
     def transform(self, spec: dict, on_type_mismatch: str = "convert") -> Column:
         """A struct of typed fields. Fields of clean lanes are read from them; the rest share one parse."""
         if self.spec is None:
@@ -224,12 +235,15 @@ def merge_patch(df: DataFrame, *columns: str, name: str = "merged") -> DataFrame
 def diff(df: DataFrame, prev: str, cur: str, *, arrays: str = "atomic", name: str = "diff") -> DataFrame:
     """df with the diff of two columns; where both are shredded alike, equal rows are told by comparing columns."""
     a, b = Reader(df, prev), Reader(df, cur)
-    whole = C.diff(a.plain, b.plain, arrays)
+    if a.spec is not None and a.spec == b.spec:
+        whole = C.diff_shredded(a.col, b.col, a.spec, arrays)
+    else:
+        whole = C.diff(a.plain, b.plain, arrays)
     if a.spec is not None and a.spec == b.spec and a.spec.scalars == a.spec.lanes:
         same = a.col["residual"].eqNullSafe(b.col["residual"])
         for x in a.spec.lanes:
             same = same & a.col["shreds"].getField(x.name).eqNullSafe(b.col["shreds"].getField(x.name))
         # Python sees NULLs, which cost nothing, on rows without a change
-        change = C.diff(F.when(~same, a.plain), F.when(~same, b.plain), arrays)
+        change = C.diff_shredded(F.when(~same, a.col), F.when(~same, b.col), a.spec, arrays)
         whole = F.when(same, F.lit("{}")).otherwise(change)
     return df.withColumn(name, whole)

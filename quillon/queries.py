@@ -155,13 +155,13 @@ def extract_typed(spark, sf_dir):
 @query(f"WITH {_ORDER} SELECT o_orderkey, items AS items, CAST(first_part AS VARCHAR) AS part, prio, NULL::VARCHAR AS none FROM od")
 def extract_paths(spark, sf_dir):
     d = order_docs(spark, sf_dir)
-    return d.select(
-        "o_orderkey",
-        C.extract("doc", "items").alias("items"),
-        C.extract_string("doc", "$.items[0].part").alias("part"),
-        C.extract_string("doc", "prio").alias("prio"),
-        C.extract("doc", "$.items[99]").alias("none"),
-    )
+    reads = {
+        "items": C.doc_at("items"),
+        "part": C.text_at("$.items[0].part"),
+        "prio": C.text_at("prio"),
+        "none": C.doc_at("$.items[99]"),
+    }
+    return d.select("o_orderkey", C.read("doc", reads).alias("x")).select("o_orderkey", "x.*")
 
 
 @query(f"WITH {_ORDER} SELECT prio, status, count(*) AS n FROM od GROUP BY prio, status")
@@ -250,16 +250,17 @@ def array_elements_join(spark, sf_dir):
 )
 def introspection(spark, sf_dir):
     d = order_docs(spark, sf_dir)
-    return d.select(
-        "o_orderkey",
-        C.type_of("doc", "items").alias("t"),
-        C.type_of("doc", "$.key").alias("k"),
-        C.type_of("doc", "nothing").alias("none"),
-        F.array_join(C.keys("doc"), ",").alias("keys"),
-        F.array_join(C.keys("doc", "$.items[0]"), ",").alias("inner_keys"),
-        C.array_length("doc", "items").alias("n"),
-        C.array_length("doc", "key").alias("not_array"),
-    )
+    reads = {
+        "t": C.type_at("items"),
+        "k": C.type_at("$.key"),
+        "none": C.type_at("nothing"),
+        "keys": C.keys_at(),
+        "inner_keys": C.keys_at("$.items[0]"),
+        "n": C.length_at("items"),
+        "not_array": C.length_at("key"),
+    }
+    x = d.select("o_orderkey", C.read("doc", reads).alias("x")).select("o_orderkey", "x.*")
+    return x.withColumns({"keys": F.array_join("keys", ","), "inner_keys": F.array_join("inner_keys", ",")})
 
 
 EVENT_SPEC = {"event_type": "VARCHAR", "user_id": "BIGINT", "$.props.k": "BIGINT"}
@@ -454,14 +455,17 @@ def shred_filter_group(spark, sf_dir):
 def shred_read_kinds(spark, sf_dir):
     d = shredded_events(spark, sf_dir, {"event_type": "VARCHAR", "user_id": "VARCHAR", "$.props.k": "BIGINT"})
     r = R.Reader(d, "j")
-    return d.select(
-        "event_id",
-        r.get_text("event_type").alias("lane"),
-        r.get_text("event_id").alias("residual"),
-        r.get_text("$.props").alias("whole"),
-        r.type_of("$.props").alias("t"),
-        r.get_text("user_id").alias("misfit"),
-    )
+    reads = {"residual": C.text_at("event_id"), "whole": C.text_at("$.props"), "t": C.type_at("$.props"), "misfit": C.text_at("user_id")}
+    return d.select("event_id", r.get_text("event_type").alias("lane"), r.read(reads).alias("x")).select("event_id", "lane", "x.*")
+
+
+@query(
+    """SELECT event_id, event_type AS kind, CAST(event_id AS VARCHAR) AS id, 'OBJECT' AS t, 1 AS n FROM events"""
+)
+def extract_single_reads(spark, sf_dir):
+    d = event_docs(spark, sf_dir)
+    n = F.size(C.keys("doc", "$.props")).alias("n")
+    return d.select("event_id", C.extract_string("doc", "event_type").alias("kind"), C.extract("doc", "event_id").alias("id"), C.type_of("doc", "props").alias("t"), n)
 
 
 @query(f"SELECT event_id, {_EVENT} AS doc FROM events UNION SELECT event_id, {_EVENT} FROM events WHERE event_id % 2 = 0")

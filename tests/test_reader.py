@@ -50,6 +50,17 @@ def test_transform_and_lists_agree(both):
         assert row.p == row.r and row.pt == row.rt
 
 
+def test_fused_reads_agree(both):
+    p, r = Reader(both, "t"), Reader(both, "j")
+    reads = {}
+    for k, path in enumerate(PATHS):
+        made = (C.text_at, C.doc_at, C.type_at, C.keys_at, C.length_at, C.elements_at)
+        reads |= {f"{f.__name__}_{k}": f(path) for f in made} | {f"n_{k}": C.typed_at(path, "BIGINT")}
+    some = {"d": C.text_at("$.b.d"), "z": C.text_at("zz")}
+    for row in both.select("t", p.read(reads).alias("p"), r.read(reads).alias("r"), p.read(some).alias("x"), r.read(some).alias("y"), r.get("a", "BIGINT").alias("a")).collect():
+        assert row.p == row.r and row.x == row.y and (row.p is None or row.p.n_0 == row.a)
+
+
 def test_classes(both):
     r = Reader(both, "j")
     kinds = {p: r.classify(p) for p in PATHS}
