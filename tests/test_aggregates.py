@@ -46,7 +46,7 @@ def random_doc(rng):
         return [rng.randrange(9), [rng.randrange(3)], "s", True][rng.randrange(4)]
 
     # object keys and leaf keys never share a path
-    doc = {f"leaf{rng.randrange(5)}": [None, rng.randrange(99), [1], "x"][rng.randrange(4)] for _ in range(4)}
+    doc = {f"leaf{rng.randrange(5)}": [None, rng.randrange(99), [1, 2.50], "x", 1.50][rng.randrange(5)] for _ in range(4)}
     for i in range(rng.randrange(3)):
         doc[f"obj{i}"] = {f"x{rng.randrange(3)}": [None, rng.randrange(9)][rng.randrange(2)] for _ in range(2)}
     return json.dumps(doc)
@@ -79,6 +79,22 @@ def test_keyed_edges(spark):
             A.group_merge_max(frame(spark, clash), ["g"], "d", "k").collect()
 
 
+def test_keyed_parts_and_key_types(spark, monkeypatch):
+    monkeypatch.setattr(A, "HELD_LEAVES", 3)
+    rng = random.Random(13)
+    rows = [(f"g{rng.randrange(3)}", rng.randrange(40), random_doc(rng)) for _ in range(200)]
+    df = frame(spark, rows).repartition(5)
+    whole = F.struct(F.col("k").cast("double").alias("x"), F.col("d").alias("y"))
+    for merge, leaves in ((A.group_merge_max, True), (A.group_merge_min, False)):
+        for key in (whole, F.col("k"), F.array("k"), F.when(F.col("k") > 5, F.col("k"))):
+            want = result(A.from_leaves(A.winning_leaves(df, ["g"], "d", key, largest=leaves), ["g"]))
+            assert result(merge(df, ["g"], "d", key)) == want
+    assert A.group_merge_max(df.limit(0), [], "d", "k").count() == 0
+    (r,) = A.group_merge_max(df, [], "d", whole).collect()
+    (w,) = A.from_leaves(A.winning_leaves(df, [], "d", whole), []).collect()
+    assert r == w
+
+
 def test_collect(spark):
     df = frame(spark, [("a", 1, "1"), ("a", 2, None), ("a", 3, "null"), ("a", 4, "3")])
     assert result(df.groupBy("g").agg(A.group_array("d", ["k"]).alias("merged"))) == {"a": "[1,null,null,3]"}
