@@ -12,7 +12,7 @@ _RANGE = {"BIGINT": (-(2**63), 2**63 - 1), "UBIGINT": (0, 2**64 - 1)}
 _TRUE, _FALSE = {"true", "t", "1", "yes", "y"}, {"false", "f", "0", "no", "n"}
 _INT = re.compile(r"[-+]?[0-9]+(?:_[0-9]+)*\Z")
 _RADIX = re.compile(r"0[xX][0-9a-fA-F]+\Z|0[bB][01]+\Z")
-_DEC = re.compile(r"[-+]?(?:[0-9]+(?:_[0-9]+)*\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\Z")
+_DEC = re.compile(r"[-+]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\Z")
 
 
 def type_of(name: str) -> str:
@@ -66,7 +66,7 @@ def _convert(v, kind: str):
         if isinstance(v, bool):
             return v
         if isinstance(v, str):
-            low = v.strip().lower()
+            low = v.lower()
             return True if low in _TRUE else False if low in _FALSE else None
         return float(v) != 0
     if kind == "DOUBLE":

@@ -82,6 +82,17 @@ def test_convert(text, kind, want):
     assert coerce(parse(text), kind, "convert", "$.x") == want
 
 
+def test_convert_as_duckdb_does():
+    import duckdb
+
+    con = duckdb.connect()
+    texts = "true|t|1|yes|y|on|TRUE|false|f|0|no|n|off| true |2|1.0||abc|-12|+12|3.5|2.5|-2.5|1e2|1.5e1|1e-1|0x1F|0b101|1_000|1__0|_1|1_|1.5_0|.5|5.|1e30".split("|")
+    texts += "9223372036854775807|9223372036854775808|18446744073709551615|18446744073709551616|-0.4|-0|inf|1e999| 12 |12 3|0.49|1e|9223372036854775807.5".split("|")
+    for kind in ("BIGINT", "UBIGINT", "DOUBLE", "BOOLEAN"):
+        for t in texts:
+            assert coerce(t, kind, "convert", "$") == con.execute(f"select try_cast(? as {kind})", [t]).fetchone()[0], (kind, t)
+
+
 def test_binary_doubles_round_half_even():
     assert coerce(Num("2.5", True), "BIGINT", "convert", "$") == 2
     assert coerce(Num("3.5", True), "BIGINT", "convert", "$") == 4
