@@ -133,10 +133,45 @@ def supported(kind: T.DataType) -> None:
         raise TypeError(f"no document form for {kind.simpleString()}")
 
 
+def _expressible(kind: T.DataType, field: T.StructField | None = None) -> bool:
+    """Whether Spark's own JSON writer gives canonical text of a value, once structs have their fields sorted."""
+    if isinstance(kind, T.StructType):
+        names = kind.fieldNames()
+        return len(set(names)) == len(names) and S.Spec.from_type(kind) is None and all(_expressible(f.dataType, f) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _expressible(kind.elementType)
+    if embedded(kind, field):
+        return False
+    return isinstance(kind, T.BooleanType | T.StringType | T.DateType | T.TimestampType | T.TimestampNTZType) or isinstance(kind, _INTS)
+
+
+def _sorted(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        made = F.struct(*[_sorted(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name.encode())])
+        return F.when(c.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        e = kind.elementType
+        return F.transform(c, lambda x: _sorted(x, e)) if isinstance(e, T.StructType | T.ArrayType) or not _same_text(e) else c
+    return c if _same_text(kind) else lane_column(c, kind)
+
+
+def _same_text(kind: T.DataType) -> bool:
+    return isinstance(kind, T.BooleanType | T.StringType) or isinstance(kind, _INTS)
+
+
 def plain(c: Column, kind: T.DataType) -> Column:
-    """A struct, map or array column as a plain document."""
+    """A struct, map or array column as a plain document.
+
+    Structs and arrays of booleans, integers, strings, dates and times are written by Spark itself; rows whose strings
+    have control characters that it spells otherwise, and all other types, go through Python.
+    """
     supported(kind)
-    return _udf(T.StringType(), lambda v: render(tree_of(v, kind)), c)
+    slow = lambda v: _udf(T.StringType(), lambda x: render(tree_of(x, kind)), v)
+    if not isinstance(kind, T.StructType | T.ArrayType) or not _expressible(kind) or (isinstance(kind, T.StructType) and not kind.fields):
+        return slow(c)
+    text = F.to_json(_sorted(c, kind), {"ignoreNullFields": "false"})
+    odd = text.rlike(r"\\u00[01][A-F]")
+    return F.when(odd, slow(F.when(odd, c))).otherwise(text)
 
 
 class _Plan:

@@ -162,6 +162,23 @@ def test_construct(spark):
     assert plain[0].x == WANT
 
 
+def test_construct_by_spark_equals_python(spark):
+    kind = T.StructType.fromDDL("z int, a string, n struct<q: array<struct<y: string, x: bigint>>, b: boolean>, d date, t timestamp, m array<array<timestamp_ntz>>")
+    rows = [
+        ((1, 'q"\\\n\u0001é/\x7f', ([("v", 1), None, (None, None)], True), datetime.date(2020, 1, 2), datetime.datetime(2020, 1, 2, 3, 4, 5, 60000), [[datetime.datetime(2020, 1, 1)], None, []]),),
+        ((None, "\x1f \x0b \\u001F", None, None, None, None),),
+        ((2, None, (None, None), None, None, [])),
+        (None,),
+    ]
+    rows[2] = (rows[2],)
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("s", kind)]))
+    made = df.select("s", construct.plain(F.col("s"), kind).alias("x"), construct.document(F.col("s"), kind).alias("j"))
+    got = made.select("s", "x", Reader(made, "j").plain.alias("y")).collect()
+    for r in got:
+        want = None if r.s is None else C.canon.render(construct.tree_of(r.s.asDict(True), kind))
+        assert r.x == r.y == want
+
+
 def test_construct_doubles(spark):
     kind = T.StructType([T.StructField("v", T.DoubleType())])
     df = spark.createDataFrame([((x,),) for x in (1e20, 1e-7, -0.0, 2.0)], T.StructType([T.StructField("s", kind)]))
