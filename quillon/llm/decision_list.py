@@ -62,11 +62,25 @@ def _grow(x: dict, y: np.ndarray, live: np.ndarray, cuts: dict, most: int) -> Ru
                         best, found = g, Condition(name, above, float(threshold))
         if found is None:
             break
+        found = _centre(found, x[found.feature][inside], y[inside])
         rule += (found,)
         inside &= found.holds(x)
     return rule
 
 
+def _centre(c: Condition, v: np.ndarray, t: np.ndarray) -> Condition:
+    """The condition with its threshold halfway between the last negative that it leaves out and the next positive."""
+    if c.above:
+        edge = v[~t & (v < c.threshold)].max(initial=-np.inf)
+        near = v[t & (v > edge)].min(initial=np.inf)
+        middle = near if np.isinf(edge) else (edge + near) / 2
+    else:
+        edge = v[~t & (v >= c.threshold)].min(initial=np.inf)
+        near = v[t & (v < edge)].max(initial=-np.inf)
+        middle = np.nextafter(near, np.inf) if np.isinf(edge) else (edge + near) / 2
+    return Condition(c.feature, c.above, float(middle)) if np.isfinite(middle) else c
+
+
 def _prune(rule: Rule, x: dict, y: np.ndarray, live: np.ndarray) -> Rule:
     """Drops final conditions while (p - n) / (p + n) on the pruning rows does not fall."""
 

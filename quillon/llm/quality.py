@@ -72,7 +72,6 @@ def text_stats(text: str | None) -> tuple[int, ...]:
                 dup += 1
             seen.add(line)
     chars = len(text) - sum(map(text.count, _SPACES))
-    lower = raw.lower()
     return (
         len(words),
         chars,
@@ -80,7 +79,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         dup,
         repeated_words(words),
         len(lines),
-        sum(map(int.__ne__, raw, lower)) if len(raw) < 64 else int((np.frombuffer(raw, np.uint8) != np.frombuffer(lower, np.uint8)).sum()),
+        int((np.frombuffer(raw, np.uint8) != np.frombuffer(raw.lower(), np.uint8)).sum()),
         sum(map(text.count, "!?")),
         len(set(words)),
         sum(map(text.count, "0123456789")),
