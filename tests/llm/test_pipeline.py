@@ -1,0 +1,68 @@
+"""Each stage of the pipeline against what its operator finds, on its own input."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from quillon.llm import decontamination, linededup, minhash, mixing, quality
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path_factory.mktemp("steps") / str(k))
+        stage(spark, out[-1], SF).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_names_and_columns(steps):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "benchmark decontamination", "mixing sources"]
+    assert all(s.columns == steps[0].columns and s.count() for s in steps)
+
+
+def test_quality(spark, steps):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert ids(steps[1]) == ids(quality.quality(steps[0], labels).where("kept"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    assert len(good - set(ids(steps[1]))) <= 0.05 * len(good)
+
+
+def test_lines(steps):
+    before = linededup.line_dedup(steps[1])
+    assert ids(steps[2]) == ids(steps[1])
+    lost = {r.doc_id: r.n_dropped for r in before.collect()}
+    texts = [{r.doc_id: r.text for r in s.collect()} for s in steps[1:3]]
+    assert all((texts[0][d] or "").count("\n") + 1 - n == ((texts[1][d] or "").count("\n") + 1 if texts[1][d] or n < (texts[0][d] or "").count("\n") + 1 else 0) for d, n in lost.items())
+
+
+def test_near(steps):
+    assert ids(steps[3]) == ids(minhash.near_dedup(steps[2]).where("kept"))
+    assert minhash.near_dedup(steps[3]).where("not kept").count() == 0
+
+
+def test_benchmark(spark, steps):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    hit = {r.doc_id for r in decontamination.contamination(steps[3], items).where("contaminated").collect()}
+    before, after = ({r.doc_id: r.text for r in s.collect()} for s in steps[3:5])
+    assert all(after.get(d) == t for d, t in before.items() if d not in hit)
+    assert all(after.get(d) != before[d] for d in hit)
+
+
+def test_mix(steps):
+    copies = {r.doc_id: r.copies for r in mixing.mix(steps[4]).collect()}
+    assert ids(steps[5]) == sorted(d for d, n in copies.items() for _ in range(n))
+
+
+def test_run(spark, steps):
+    assert ids(corpus_pipeline.run(spark, SF)) == ids(steps[5])

@@ -1,0 +1,80 @@
+"""Folding, matching and learning of the toxicity lexicon."""
+
+import random
+import zlib
+
+from quillon.llm import toxicity
+from quillon.llm.toxicity import Lexicon, fold
+
+
+def test_fold():
+    assert fold("You  1d10t!") == " you idiot "
+    assert fold("ѕсum, $tupid sc@m") == " scum tupid scam "
+    assert fold("ｉｄｉｏｔ") == " idiot "
+    assert fold("rest$$$ $$$") == " rest " and fold(None) == "  " == fold("")
+    assert fold("École") == " école "
+
+
+def test_lexicon_and_exceptions():
+    lex = Lexicon({" trash ": 2.0, " scu": 3.0, " scum ": 1.0}, {" trash can "}, (-3.0, 2.0, 1.0))
+    assert [w for _, _, w in lex.hits(fold("scum of the TRASH, a trash can"))] == [3.0, 2.0] or sorted(
+        w for _, _, w in lex.hits(fold("scum of the TRASH, a trash can"))
+    ) == [2.0, 3.0]
+    assert lex.score("a trash can") == lex.score("nothing here")
+    assert lex.score("trash") > lex.score("trash " + "word " * 500) > lex.score("word " * 500)
+    assert Lexicon({}).score("trash") == Lexicon({}).score("")
+
+
+def corpus():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7)))
+    bad = ["zorgle", "vemquist"]
+    rows, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(rng.randint(5, 60))]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(rng.randint(1, 3)):
+                w = rng.choice(bad) + rng.choice(["", "en", "ist"])
+                if rng.random() < 0.3:
+                    w = w.replace("e", "3").replace("o", "0").upper()
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words), "en", "s", toxic))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_learned_scores(spark):
+    rows, labels = corpus()
+    more = [(5000, None, None, None, None), (5001, "", None, None, None), (None, rows[0][1], None, None, None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string, toxic boolean")
+    lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(docs, lab).collect()}
+    assert len(out) == len(rows) + len(more)
+    for i, y in labels:
+        r = out[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) == y, (i, r, rows[i])
+    assert out[5000].predicted == out[5001].predicted == 0 and out[None].predicted == 1 and not out[None].held_out
+
+
+def test_held_out_labels_teach_nothing(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lie = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels]
+    one = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    two = toxicity.learn(docs, spark.createDataFrame(lie, "doc_id long, toxic int"))
+    assert one.terms == two.terms and one.scale == two.scale
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for some in ([], [(1, 1)], [(1, 0)]):
+        (r,) = toxicity.toxicity(docs, spark.createDataFrame(some, "doc_id long, toxic int")).collect()
+        assert 0 <= r.score <= 1
+    assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
+def test_copies_teach_once():
+    terms = toxicity.choose([(" abc ", 3, 0), (" abcd ", 40, 0), (" abcde ", 50, 1), (" xyz ", 20, 30)], 100, 900, 5000)
+    assert " abcd " in terms and " xyz " not in terms and " abc " not in terms
