@@ -11,6 +11,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import types as T
 
@@ -130,11 +131,11 @@ class Spec:
                 out.append(Lane(f.name, steps, names[str(t)], array))
         return cls(tuple(sorted(out, key=lambda x: x.name.encode())))
 
-    @property
+    @cached_property
     def scalars(self) -> tuple[Lane, ...]:
         return tuple(x for x in self.lanes if x.scalar)
 
-    @property
+    @cached_property
     def clean(self) -> int:
         """The marker of rows where every value found its lane; even, and independent of the order of lanes."""
         total = 0
@@ -142,7 +143,7 @@ class Spec:
             total += int.from_bytes(hashlib.blake2b(f"{x.name}\x00{x.ddl}".encode(), digest_size=8).digest(), "big")
         return (total % 2**63) & ~1
 
-    @property
+    @cached_property
     def n_spill(self) -> int:
         return -(-len(self.scalars) // BITS)
 
