@@ -127,8 +127,18 @@ def scalar_text(v) -> str:
     return v.text if isinstance(v, Num) else str(v)
 
 
+_FAST = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False)
+
+
 def render(tree) -> str:
     """Canonical text of a tree."""
+    try:
+        return _FAST.encode(tree)
+    except TypeError:  # there is a number that keeps its text
+        return _render_numbers(tree)
+
+
+def _render_numbers(tree) -> str:
     count = 0
 
     def number(v):
@@ -140,8 +150,6 @@ def render(tree) -> str:
 
     encoder = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=number, check_circular=False)
     out = encoder.encode(tree)
-    if not count:
-        return out
     # a string may itself begin like the mark; then each value is written on its own
     return _NUM.sub(r"\1", out) if out.count(_MARK) == count else _slow(tree)
 
