@@ -69,6 +69,33 @@ def test_keyed_merges_equal_ordered_folds(spark):
     assert result(A.group_merge_min(df, ["g"], "d", "k")) == fold(lambda r: -r[1])
 
 
+def clashing(rng):
+    def value(depth):
+        kind = rng.randrange(5)
+        if kind == 0:
+            return None
+        if kind < 3 and depth < 3:
+            return {k: value(depth + 1) for k in rng.sample("abc", rng.randrange(4))}
+        return [rng.randrange(9), [1, {"z": None}], 1.50][rng.randrange(3)]
+
+    return json.dumps(value(0) if rng.random() < 0.2 else {k: value(1) for k in rng.sample("abc", rng.randrange(4))})
+
+
+def test_ordered_merge_equals_fold_on_clashes(spark):
+    rng = random.Random(17)
+    rows = [(f"g{rng.randrange(60)}", i, clashing(rng)) for i in rng.sample(range(10_000), 900)]
+
+    def fold(sign):
+        out = {}
+        for g, _, d in sorted(rows, key=lambda r: sign * r[1]):
+            out[g] = algebra.fold(out.get(g), parse(d)) if g in out else algebra.fold(None, parse(d))
+        return {g: render(v) for g, v in out.items()}
+
+    df = frame(spark, rows).repartition(6)
+    assert result(A.group_merge(df, ["g"], "d", ["k"])) == fold(1)
+    assert result(A.group_merge(df, ["g"], "d", ["k"], descending=True)) == fold(-1)
+
+
 def test_keyed_edges(spark):
     rows = [("a", 1, '{"a":null}'), ("b", 1, None), ("c", None, '{"x":1,"y":1}'), ("c", 0, '{"x":2}'), ("d", 1, "5"), ("d", 2, "6"), ("e", 1, "[1]")]
     want = {"a": "{}", "b": None, "c": '{"x":2,"y":1}', "d": "6", "e": "[1]"}
