@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches that executors hand to Python hold at most so many bytes, whatever the length of a text.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 #: Bytes to the word bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z; all others become a space.
 _ALNUM = bytes(
@@ -37,7 +38,9 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        own = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/quillon-{sc.applicationId}"
 
@@ -47,26 +50,60 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _scratch:  # registered after Spark's own handlers, so that it runs before them
+        atexit.unregister(drop_tables)
+        atexit.register(drop_tables)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._quillon_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for made in tables:
+        path = made._quillon_path
+        _scratch[:] = [x for x in _scratch if x[1] != path]
+        _delete(made.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def drop_tables(spark: SparkSession | None = None) -> None:
+def drop_tables() -> None:
     """Removes the scratch tables made so far. Results that still read them must have been consumed."""
     while _scratch:
         owner, path = _scratch.pop()
         try:
-            jvm = owner.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(owner, path)
         except Exception:  # noqa: BLE001  the session has ended; its folder is the cluster's to clean
             return
 
 
-atexit.register(drop_tables)
+def release() -> None:
+    """Gives what a worker has freed back to the machine; idle workers stay alive and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow that releases a worker's free memory when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
@@ -80,9 +117,4 @@ def map_arrow(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.Record
                 got = fn(batch)
                 yield pa.RecordBatch.from_arrays([got[n] for n in names], names=names)
 
-    return df.mapInArrow(run, out)
-
-
-def null_text(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, taken by exact name whatever else df has."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return map_batches(df, out, run)

@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets form a class, which takes part once. Classes that share a band meet at the bucket's
 first class; links are confirmed on full sets. Where a bucket still holds several components, its classes are compared
-across components block by block, so that a bucket's rows grow with its size and not with the square of it.
+across components block by block, so that a large group costs rows for its members and not for its pairs.
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillon.llm.common import map_arrow, prepare, table
+from quillon.llm.common import discard, map_arrow, map_batches, prepare, table
 
 WIDTH, PERCENT = 5, 75
 #: Permutations of each kind of band; a permutation gives two values, so 120 of them fill 48 bands of 5 rows.
 PERMUTATIONS, ROWS = 120, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Pairs whose signatures agree on a smaller share are not worth a look at the sets (8 deviations below the threshold).
-AGREE = 0.5
-#: Classes of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Pairs whose signatures agree on a smaller share are not worth a look at the sets (5 deviations below the threshold).
+AGREE = 0.6
+#: Classes of a bucket whose sketches (about 700 bytes each) a task holds to compare others with.
+BLOCK = 2048
+#: Classes whose whole sets a task holds to compare others with.
+SETS = 256
 #: Members of one first class that are confirmed together.
-SALT = 64
+SALT = 256
+#: Classes in pairs up to this many (about 60 bytes each) are broadcast to fetch their texts; more meet them in a join.
+BROADCAST_ROLES = 400_000
+#: Links up to this many (32 bytes each) are united in one task; more by rounds of joins.
+ONE_TASK = 250_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -118,14 +123,19 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
-_SKETCH = "doc_id {id}, n_shingles long, cls binary, bands array<long>, sig binary"
+def _print(keys: np.ndarray) -> np.ndarray:
+    """The upper half of band keys."""
+    return (np.asarray(keys, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
+_SKETCH = "doc_id {id}, n_shingles long, cls binary, bands array<long>, prints binary, sig binary"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set; null if empty), bands and 8 bits of each signature value."""
+    """doc_id, n_shingles, cls (a digest of the set; null if empty), bands, half of each band, 8 bits of each signature value."""
 
     def sketches(batch: pa.RecordBatch) -> dict:
-        n, cls, keys, sigs = [], [], [], []
+        n, cls, keys, prints, sigs = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text)
             n.append(len(found))
@@ -133,16 +143,19 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signature(found)
                 cls.append(xxhash.xxh3_128_digest(found.tobytes()))
                 keys.append(bands(sig))
+                prints.append(_print(keys[-1]).tobytes())
                 sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
             else:
                 cls.append(None)
                 keys.append(None)
+                prints.append(None)
                 sigs.append(None)
         return {
             "doc_id": batch.column("doc_id"),
             "n_shingles": pa.array(n, pa.int64()),
             "cls": pa.array(cls, pa.binary()),
             "bands": pa.array(keys, pa.list_(pa.int64())),
+            "prints": pa.array(prints, pa.binary()),
             "sig": pa.array(sigs, pa.binary()),
         }
 
@@ -156,54 +169,77 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes whose signatures agree enough, smaller sets not too small."""
+def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose signatures agree enough, with the share that does; sets of too unlike sizes go."""
     one = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     two = sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(one, "a").join(two, "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)")
+    both = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
 
     def agree(batch: pa.RecordBatch) -> dict:
         x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         y = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        good = pa.array((x == y).mean(1) >= AGREE)
-        return {n: batch.column(n).filter(good) for n in ("a", "b")}
+        share = (x == y).mean(1)
+        good = pa.array(share >= AGREE)
+        return {n: batch.column(n).filter(good) for n in ("a", "b")} | {"agree": pa.array(share).filter(good)}
+
+    return map_arrow(both, "a binary, b binary, agree double", agree)
+
 
-    return map_arrow(both, "a binary, b binary", agree)
+def _with_texts(roles: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """roles (cls and more) with the text of each class, from the rows of docs with the class's least id."""
+    roles = table(roles.join(classes.select("cls", "id"), "cls"), "roles")
+    wanted = F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select(*[c for c in roles.columns if c != "id"], "text")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. The first class's text comes once for each salt of its members."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
-    members = salted.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
-    heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a")
-    rows = heads.select("a", "salt", F.lit(None).cast("binary").alias("b"), "text").unionByName(members)
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def _own(text: str | None, cls: bytes) -> np.ndarray | None:
+    """The set of a text if it is the class's; rows that share an id may hold another text."""
+    found = shingles(text)
+    return found if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == cls else None
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a table whose full sets are similar.
+
+    The texts of the classes in pairs are read once more. The members of one a are dealt into groups of about SALT, each
+    of which gets the text of a once, so that no text is repeated for each of its pairs.
+    """
+    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    members = pairs.join(heads, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"))
+    starts = heads.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    near = _with_texts(members.unionByName(starts), classes, docs)
+    dealt = near.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "cls")
 
     def check(batches):
-        head, mine = None, None
+        at, head = None, None
         for batch in batches:
-            a, b, text = (batch.column(n).to_pylist() for n in ("a", "b", "text"))
             x, y = [], []
-            for i in range(batch.num_rows):
-                if b[i] is None:
-                    if head != a[i]:
-                        head, mine = a[i], shingles(text[i])
-                elif similar(mine, shingles(text[i])):
-                    x.append(a[i])
-                    y.append(b[i])
+            for a, salt, member, cls, text in zip(*(batch.column(n).to_pylist() for n in ("a", "salt", "member", "cls", "text")), strict=True):
+                found = _own(text, cls)
+                if found is None:
+                    continue
+                if not member:
+                    at, head = (a, salt), found
+                elif at == (a, salt) and similar(head, found):
+                    x.append(a)
+                    y.append(cls)
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
-    return dealt.mapInArrow(check, "a binary, b binary")
+    return table(map_batches(dealt, "a binary, b binary", check), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """cls and comp, the least class reachable over links (a, b), for classes with a link.
 
-    Each round gives every class the least label among its own and its neighbours', hands that on to the class that
-    its old label names, and then follows labels once; only aggregations with partial sums meet a class's neighbours.
+    Up to one_task links are united in a single task. Beyond that, each round gives every class the least label among
+    its own and its neighbours', hands that on to the class that its old label names, and then follows labels once;
+    only aggregations with partial sums meet a class's neighbours.
     """
-    both = table(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    links = table(links.select("a", "b").where("a <> b").distinct(), "links")
+    if links.count() <= one_task:
+        return table(map_batches(links.coalesce(1), "cls binary, comp binary", _unite), "labels")
+    both = table(links.union(links.select("b", "a")), "links")
     labels = table(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
@@ -218,74 +254,165 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """Each class of a bucket with the bucket's least class."""
-    heads = buckets.groupBy("key").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
-    return buckets.join(heads, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+def _unite(batches):
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    if up:
+        names = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(map(top, names), pa.binary())], names=["cls", "comp"])
+
+
+def _star(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Each class with the one among its buckets' least classes with which its signature agrees best."""
+    heads = buckets.groupBy("key").agg(F.min("cls").alias("a"))
+    pairs = buckets.join(heads, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    return _agreement(pairs, sigs).groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
 
 
 def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but no component, and whose signatures agree enough.
+    """Components (ca, cb) with classes in one bucket whose signatures agree enough, and the pair (a, b) that does best.
 
-    A bucket's classes are dealt into blocks; each pair of blocks is compared as arrays by one task.
+    A bucket's classes are owned by blocks of about BLOCK; those outside the component of its least class go to every
+    block and meet what the block owns. Two classes are compared in the bucket of the first band that they share.
     """
-    named = buckets.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    own = sigs.join(comps, "cls", "left").select("cls", "sig", "prints", "n", F.coalesce("comp", "cls").alias("comp"))
+    named = table(buckets.join(own, "cls", "left"), "named")
     mixed = (
         named.groupBy("key")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
+        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct("cls", "comp")).alias("h"), F.count(F.lit(1)).alias("m"))
         .where("x <> y")
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .select("key", F.col("h.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = named.join(mixed, "key").join(sigs, "cls")
+    rows = named.join(mixed, "key")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = F.when(F.col("comp") == F.col("main"), F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
-        rows.select("key", "cls", "comp", "sig", "n", mine.alias("mine"), other.alias("other"))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp", "sig", "n")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        rows.select("key", "cls", "comp", "sig", "prints", "n", mine.alias("mine"), (F.col("comp") != F.col("main")).alias("other"), F.explode(blocks).alias("i"))
+        .repartition("key", "i")
+        .sortWithinPartitions("key", "i", "cls")
     )
 
+    def pairs(held: list[tuple], key: int, i: int) -> list[tuple]:
+        guests = [h for h in held if h[6]]
+        owned = [h for h in held if h[5] == i]
+        if not guests or not owned:
+            return []
+        here = _print(np.array([key]))[0]
+        sig = np.frombuffer(b"".join(h[2] for h in owned), np.uint8).reshape(len(owned), -1)
+        prints = np.frombuffer(b"".join(h[3] for h in owned), np.uint32).reshape(len(owned), -1)
+        n = np.array([h[4] for h in owned])
+        out: dict = {}
+        for cls, comp, own, bits, size, _, _ in guests:
+            its_prints = np.frombuffer(bits, np.uint32)
+            first = its_prints[(prints == its_prints).argmax(1)] == here
+            near = np.flatnonzero(first & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)))
+            share = (sig[near] == np.frombuffer(own, np.uint8)).mean(1)
+            for k in np.flatnonzero(share >= AGREE).tolist():
+                other, its = owned[near[k]][:2]
+                if its == comp:
+                    continue
+                a, b = sorted((cls, other))
+                ca, cb = sorted((comp, its))
+                row = (ca, cb, a, b, float(share[k]))
+                if (ca, cb) not in out or row[4] > out[ca, cb][4]:
+                    out[ca, cb] = row
+        return list(out.values())
+
     def compare(batches):
-        held: list[tuple] = []
-        at = None
-
-        def pairs() -> list[tuple[bytes, bytes]]:
-            if len(held) < 2:
-                return []
-            sig = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
-            comp = np.unique(np.array([h[2].hex() for h in held]), return_inverse=True)[1]
-            n = np.array([h[4] for h in held])
-            mine = np.array([h[0] for h in held])
-            out = []
-            for r in range(len(held) - 1):
-                good = (comp[r + 1 :] != comp[r]) & (100 * np.minimum(n[r], n[r + 1 :]) >= PERCENT * np.maximum(n[r], n[r + 1 :]))
-                if at[1] != at[2]:
-                    good &= mine[r + 1 :] != mine[r]
-                for s in np.flatnonzero(good) + r + 1:
-                    if (sig[r] == sig[s]).mean() >= AGREE:
-                        out.append(tuple(sorted((held[r][1], held[s][1]))))
-            return out
+        at, held = None, []
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            kinds = [pa.binary()] * 4 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ca", "cb", "a", "b", "agree"])
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("key", "i", "j", "mine", "cls", "comp", "sig", "n")]
-            found: set[tuple[bytes, bytes]] = set()
-            for row in zip(*cols, strict=True):
-                if row[:3] != at:
-                    found.update(pairs())
-                    held, at = [], row[:3]
-                held.append(row[3:])
+            found: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "cls", "comp", "sig", "prints", "n", "mine", "other")]
+            for key, i, *row in zip(*cols, strict=True):
+                if (key, i) != at:
+                    if held:
+                        found += pairs(held, *at)
+                    at, held = (key, i), []
+                held.append(tuple(row))
             if found:
-                yield _pairs_batch(found)
-        if last := set(pairs()):
-            yield _pairs_batch(last)
+                yield made(found)
+        if held and (found := pairs(held, *at)):
+            yield made(found)
 
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    out = map_batches(dealt, "ca binary, cb binary, a binary, b binary, agree double", compare)
+    top = out.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
+    found = table(top.select("ca", "cb", "p.a", "p.b"), "pairs")
+    discard(named)
+    return found
 
 
-def _pairs_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    some = sorted(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.binary()) for k in (0, 1)], names=["a", "b"])
+def _all_of(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between all classes of two components (ca, cb), for pairs of components of three classes or more.
+
+    The larger component is dealt into blocks of about SETS classes, and the classes of the other go to each of them;
+    a task holds the sets of one block. Pairs of single classes have been confirmed as they were.
+    """
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    size = lambda side: sizes.select(F.col("comp").alias(side), F.col("size").alias(side + "n"))
+    both = pairs.select("ca", "cb").join(size("ca"), "ca", "left").join(size("cb"), "cb", "left")
+    both = both.withColumns({"can": F.coalesce("can", F.lit(1)), "cbn": F.coalesce("cbn", F.lit(1))}).where("can * cbn > 1")
+    first = F.struct("can", "ca") > F.struct("cbn", "cb")
+    both = table(
+        both.select(
+            F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("owner"),
+            F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("guest"),
+            F.ceil(F.greatest("can", "cbn") / SETS).cast("int").alias("blocks"),
+        ),
+        "pairs",
+    )
+    owners = both.select("owner", "blocks").distinct()
+    names = comps.select(F.col("comp").alias("owner"), "cls")
+    mine = owners.join(names, "owner").select("cls", "owner", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("i"), F.lit(0).alias("guest"))
+    others = both.join(comps.select(F.col("comp").alias("guest"), F.col("cls").alias("own")), "guest", "left")
+    others = others.select(
+        F.coalesce("own", "guest").alias("cls"), "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("guest")
+    )
+    dealt = _with_texts(mine.unionByName(others), classes, docs).repartition("owner", "i").sortWithinPartitions("owner", "i", "guest", "cls")
+
+    def check(batches):
+        at, sets, names, marks = None, [], [], None
+        for batch in batches:
+            x, y = [], []
+            for owner, i, guest, cls, text in zip(*(batch.column(n).to_pylist() for n in ("owner", "i", "guest", "cls", "text")), strict=True):
+                if (owner, i) != at:
+                    at, sets, names, marks = (owner, i), [], [], None
+                found = _own(text, cls)
+                if found is None:
+                    continue
+                mark = (signature(found) & np.uint32(255)).astype(np.uint8)
+                if not guest:
+                    sets.append((found, mark))
+                    names.append(cls)
+                    continue
+                if marks is None:
+                    marks = np.array([m for _, m in sets]).reshape(len(sets), -1)
+                for k in np.flatnonzero((marks == mark).mean(1) >= AGREE).tolist() if sets else ():
+                    if similar(sets[k][0], found):  # one link joins the components
+                        x.append(names[k])
+                        y.append(cls)
+                        break
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+    return table(map_batches(dealt, "a binary, b binary", check), "links")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,33 +421,28 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts, and texts of white space alone, have no shingles and are linked with nothing. Rows with equal
     sets are in one component; null ids take part and never name it, and a component without any id is named null.
     Repeated rows keep a row each. Other columns are not read.
+
+    Links are sought in three steps: each class with the best of its buckets' first classes; of each two components
+    that still share a bucket the best pair; and then all classes of components that still share one.
     """
     prepare(docs.sparkSession)
     some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = table(sketch(some), "sketch")
+    sketches = table(sketch(some), "sketch")
     classes = table(
-        rows.where("cls is not null")
+        sketches.where("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
+        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("prints").alias("prints"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
         "classes",
     )
+    rows = table(sketches.select("doc_id", "n_shingles", "cls"), "rows")
+    discard(sketches)
     buckets = classes.select("cls", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    buckets = table(buckets.join(sizes, "key"), "buckets")
-    sigs = classes.select("cls", "sig", "n")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        # one row of docs stands for its class; only classes in a pair bring their texts
-        pairs = table(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls").select("cls", "id", "n")
-        return table(_confirm(pairs, _texts(some, ids)), name)
-
-    links = confirmed(_agreeing(_first_pairs(buckets), sigs), "links")
-    comps = components(links)
-    more = confirmed(_across(buckets, comps, sigs), "links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        comps = components(links)
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    buckets = table(buckets.join(shared, "key"), "buckets")
+    sigs = classes.select("cls", "sig", "prints", "n")
+    comps = components(_confirm(table(_star(buckets, sigs), "pairs"), classes, some))
+    comps = _joined(comps, _confirm(_across(buckets, comps, sigs), classes, some))
+    comps = _joined(comps, _all_of(_across(buckets, comps, sigs), comps, classes, some))
     named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     per = named.join(least, "comp").select("cls", "component_id")
@@ -329,15 +451,18 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and text, a row per wanted class, from the row of docs that has its least id and its set."""
-    near = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("cls", "text")
-
-    def own(batch: pa.RecordBatch) -> dict:
-        good = [xxhash.xxh3_128_digest(shingles(t).tobytes()) == c for c, t in zip(*(batch.column(n).to_pylist() for n in ("cls", "text")), strict=True)]
-        return {n: batch.column(n).filter(pa.array(good, pa.bool_())) for n in ("cls", "text")}
-
-    return map_arrow(near, "cls binary, text string", own).dropDuplicates(["cls"])
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of comps and links together, from a graph with a node per component."""
+    if not links.limit(1).count():
+        return comps
+    top = lambda side: F.coalesce(F.col(side + "c"), F.col(side))
+    ends = links.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("ac")), "a", "left").join(
+        comps.select(F.col("cls").alias("b"), F.col("comp").alias("bc")), "b", "left"
+    )
+    merged = components(ends.select(top("a").alias("a"), top("b").alias("b")))
+    kept = comps.join(merged.select(F.col("cls").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+    both = kept.select("cls", F.coalesce("new", "comp").alias("comp")).unionByName(merged)
+    return table(both.groupBy("cls").agg(F.min("comp").alias("comp")), "labels")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
