@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, prepare
+from quillon.llm.common import map_arrow, map_batches, prepare
 from quillon.llm.minhash import shingles
 
 #: At most so many labelled rows, those with the smallest hash of their id, teach the lexicon and the scale.
@@ -35,7 +35,8 @@ SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 _FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {c: "" for c in "​‌‍⁠﻿­"})
 _FULLWIDTH = str.maketrans({chr(0xFEE0 + c): chr(c).lower() for c in range(0x21, 0x7F)})
-_SIGN = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])")
+#: Signs within a word or before its first letter; those that end a word are punctuation.
+_SIGN = re.compile(r"(?:(?<=[^\W_])|(?<!\S))[@$!](?=[^\W\d_])")
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -197,7 +198,7 @@ def learn(
             names=["c", "a", "b"],
         )
 
-    per = some.mapInArrow(count, "c string, a long, b long").groupBy("c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = map_batches(some, "c string, a long, b long", count).groupBy("c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = F.col("a") + F.col("b")
     tried = per.agg(
         F.count("*").alias("n"),

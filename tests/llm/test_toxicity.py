@@ -9,7 +9,7 @@ from quillon.llm.toxicity import Lexicon, fold
 
 def test_fold():
     assert fold("You  1d10t!") == " you idiot "
-    assert fold("ѕсum, $tupid sc@m") == " scum tupid scam "
+    assert fold("ѕсum, $tupid sc@m $50") == " scum stupid scam so "
     assert fold("ｉｄｉｏｔ") == " idiot "
     assert fold("rest$$$ $$$") == " rest " and fold(None) == "  " == fold("")
     assert fold("École") == " école "
@@ -17,9 +17,7 @@ def test_fold():
 
 def test_lexicon_and_exceptions():
     lex = Lexicon({" trash ": 2.0, " scu": 3.0, " scum ": 1.0}, {" trash can "}, (-3.0, 2.0, 1.0))
-    assert [w for _, _, w in lex.hits(fold("scum of the TRASH, a trash can"))] == [3.0, 2.0] or sorted(
-        w for _, _, w in lex.hits(fold("scum of the TRASH, a trash can"))
-    ) == [2.0, 3.0]
+    assert sorted(w for _, _, w in lex.hits(fold("scum of the TRASH, a trash can"))) == [2.0, 3.0]
     assert lex.score("a trash can") == lex.score("nothing here")
     assert lex.score("trash") > lex.score("trash " + "word " * 500) > lex.score("word " * 500)
     assert Lexicon({}).score("trash") == Lexicon({}).score("")
