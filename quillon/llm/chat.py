@@ -17,7 +17,6 @@ OPEN, BETWEEN, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: A control string with any number of backslashes after its first character.
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
-_BARE = r"</?s>|\[/?INST\]"
 _PASSES = 2
 
 

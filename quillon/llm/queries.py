@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import chat, decontamination, html, licenses, linededup, minhash, mixing, quality, toxicity, urls
 
