@@ -183,11 +183,43 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, min(r) =
 FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.d = w.doc_id GROUP BY w.doc_id, n
 """
 
+_VALUES = lambda rows: ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(rows))
+
+_OP8 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases(p, phrase, label) AS (VALUES {_VALUES(licenses.PHRASES)}), places AS (
+  SELECT doc_id, i - 1 AS pos, label FROM d, (SELECT string_split(phrase, ' ') AS pw, label FROM phrases), range(1, greatest(len(w) - len(pw) + 1, 0) + 1) t(i)
+  WHERE w[i : i + len(pw) - 1] = pw
+), base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
+), g AS (
+  SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM d, range(1, greatest(len(w) - 2, 0) + 1) t(i)
+), templates(t, label, text) AS (VALUES {_VALUES(licenses.TEMPLATES)}), tw AS (SELECT t, label, string_split(text, ' ') AS w FROM templates), tg AS (
+  SELECT t, label, len(w) AS tn, i - 1 AS ta, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM tw, range(1, len(w) - 1) r(i)
+), dg AS (
+  SELECT doc_id, t, label, tn, pos - ta AS dd, list(DISTINCT ta) AS ats, min(pos) AS f, max(pos) AS l FROM g JOIN tg USING (k) GROUP BY ALL
+), cut AS (
+  SELECT *, CASE WHEN dd - lag(dd) OVER (PARTITION BY doc_id, t ORDER BY dd) > {licenses.GAP} THEN 1 ELSE 0 END AS fresh FROM dg
+), run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY dd) AS sp FROM cut), span AS (
+  SELECT doc_id, label, tn, flatten(list(ats)) AS ats, max(l) + 2 - min(f) + 1 AS width FROM run GROUP BY doc_id, t, label, tn, sp
+), cover AS (
+  SELECT doc_id, label, CAST(len(list_distinct(flatten(list_transform(ats, lambda a: [a, a + 1, a + 2])))) AS DOUBLE) / tn AS c, width <= tn + {2 * licenses.GAP} AS tight
+  FROM span
+), found AS (SELECT doc_id, list(label) FILTER (c >= {licenses.COVER} AND tight) AS labels, max(c) AS c FROM cover GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE least(coalesce(c, 0.0), 1.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": _OP4,
     "op5_benchmark_decontamination": _OP5,
     "op6_url_filters": _OP6,
     "op7_line_dedup": _OP7,
+    "op8_license_scans": _OP8,
     "op9_mixing_sources": _OP9,
     "op10_minhash_near_dedup": _OP10,
 }
