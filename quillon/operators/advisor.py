@@ -84,7 +84,8 @@ def suggest_shredding(df: DataFrame, doc: str, *, min_presence: float = 0.5, min
     """A shredding spec for the plain documents of a column, or None if no path qualifies.
 
     A path needs values in min_presence of the documents, and a type that fits min_fit of all documents with the path.
-    Counts are gathered per path, subfield and role in one aggregation; more than 8192 paths are an error.
+    Counts are gathered per path, subfield and role in one aggregation. More than 8192 paths are an error, and so are more
+    than 8192 subfields of one array; below that, every count that can matter reaches the driver.
     """
     for name, v in (("min_presence", min_presence), ("min_fit", min_fit)):
         if not 0 <= v <= 1:
@@ -100,16 +101,24 @@ def suggest_shredding(df: DataFrame, doc: str, *, min_presence: float = 0.5, min
         .groupBy("path", "sub", "role")
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LADDER])
     )
-    rows = per.limit(MAX_PATHS * 8).collect()  # the limit below is reached first
-    by: dict[str, dict] = {}
-    subs: dict[str, dict] = {}
-    for r in rows:
-        if r["role"] == "sub":
-            subs.setdefault(r["path"], {})[r["sub"]] = r
-        else:
+    per = per.persist()
+    try:
+        sub = F.col("role") == "sub"
+        if per.where(~sub).select("path").distinct().count() > MAX_PATHS:
+            raise DocError(f"more than {MAX_PATHS} distinct paths")
+        widest = per.where(sub).groupBy("path").count().agg(F.max("count")).first()[0] or 0
+        if widest > MAX_PATHS:
+            raise DocError(f"an array with more than {MAX_PATHS} distinct subfields")
+        by: dict[str, dict] = {}
+        for r in per.where(~sub).collect():  # a few roles for each of MAX_PATHS paths
             by.setdefault(r["path"], {})[r["role"]] = r
-    if len(by) > MAX_PATHS:
-        raise DocError(f"more than {MAX_PATHS} distinct paths")
+        subs: dict[str, dict] = {}
+        objects = per.where("role = 'objects'").select("path", F.col("n").alias("of"))
+        often = per.where(sub).join(objects, "path").where(F.col("n") + F.lit(_EPS) >= F.lit(float(min_presence)) * F.col("of"))
+        for r in often.collect():
+            subs.setdefault(r["path"], {})[r["sub"]] = r
+    finally:
+        per.unpersist()
     return spec_text(choose(by, subs, n_rows, min_presence, min_fit))
 
 

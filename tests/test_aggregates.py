@@ -194,6 +194,25 @@ def test_suggest_errors(spark):
         advisor.suggest_shredding(df.select(C.shred("d", {"a": "BIGINT"}).alias("d")), "d")
 
 
+def test_suggest_keeps_every_lane_of_many_arrays(spark):
+    items = [dict.fromkeys([f"f{k:02}" for k in range(22)], 1)]
+    df = spark.createDataFrame([(json.dumps({f"a{i:04}": items for i in range(3000)}),)], "d string")
+    lane = "STRUCT(" + ", ".join(f"f{k:02} BIGINT" for k in range(22)) + ")[]"
+    assert advisor.parse_spec(advisor.suggest_shredding(df, "d")) == {f"a{i:04}": lane for i in range(3000)}
+
+
+def test_suggest_limits(spark):
+    def suggest(n_paths, n_subs):
+        d = {"items": [{f"k{i}": 1} for i in range(n_subs)], **{f"p{i}": 1 for i in range(n_paths - 1)}}
+        return advisor.suggest_shredding(spark.createDataFrame([(json.dumps(d),)], "d string"), "d")
+
+    assert len(advisor.parse_spec(suggest(8192, 8192))) == 8192
+    with pytest.raises(DocError, match="paths"):
+        suggest(8193, 1)
+    with pytest.raises(DocError, match="subfields"):
+        suggest(1, 8193)
+
+
 def test_shred_stats(spark):
     spec = {"a": "BIGINT"}
     df = spark.createDataFrame([('{"a":5,"b":1}',), ('{"a":"x"}',), ('{"b":2}',), ('{"a":7}',), (None,)], "d string")
