@@ -6,6 +6,7 @@ import html as _html
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,9 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
-HOLDERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center"}
+PAGE = {"", "html", "body"}
+PARTS = PAGE | {"div", "section", "article", "main", "center"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "header"}
 #: Words in class, id or role that mark page furniture.
 HINTS = {
@@ -41,10 +44,16 @@ CLOSES = {
 
 
 class _Node:
-    __slots__ = ("bad", "kids", "score", "tag", "up")
+    __slots__ = ("bad", "chosen", "tag", "up")
 
     def __init__(self, tag: str, up: _Node | None, bad: bool):
-        self.tag, self.up, self.bad, self.kids, self.score = tag, up, bad, [], 0.0
+        self.tag, self.up, self.bad, self.chosen = tag, up, bad, 0
+
+
+def _up(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.up
 
 
 def _furniture(tag: str, attrs: str, stack: list[_Node]) -> bool:
@@ -72,11 +81,8 @@ def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, i
         nonlocal linked
         text = _SPACE.sub(" ", _html.unescape("".join(held))).strip()
         if text and not owner.bad:
-            path, n = [], owner
-            while n is not None:
-                path.append(n.tag)
-                n = n.up
-            blocks.append((owner, "/".join(reversed(path)), text, linked))
+            path = "/".join(reversed([n.tag for n in _up(owner)]))
+            blocks.append((owner, path, text, linked))
         held.clear()
         linked = 0
 
@@ -133,7 +139,7 @@ def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, i
             continue
         if tag not in INLINE:
             flush()
-            shut = CLOSES.get(tag, set()) | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+            shut = CLOSES.get(tag, set()) | HEADINGS | {"p"}
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut:
                     del stack[k:]
@@ -141,7 +147,6 @@ def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, i
                     break
         up = stack[-1]
         node = _Node(tag, up, up.bad or _furniture(tag, attrs, stack))
-        up.kids.append(node)
         if not attrs.endswith("/") or tag not in INLINE:
             stack.append(node)
         if tag not in INLINE:
@@ -175,36 +180,59 @@ def path_ratios(blocks: list[tuple[_Node, str, str, int]], sigma: float = 1.0) -
 
 
 def main_text(page: str | None) -> str:
-    """The main text of one page; empty for null, for empty pages and for pages of furniture alone."""
-    root, blocks = parse_blocks(page)
+    """The main text of one page; empty for null, for empty pages and for pages of furniture alone.
+
+    Blocks of a high path ratio are selected unless most of their path's text is within links. Around them stay: all of
+    the article or main that is nearest to a selected block; what lies in the least element that holds all selected blocks,
+    where that is no mere body; what lies between selected blocks, or in their body; and the run of blocks before them,
+    outside that element from its first heading on. Lists of links stay only in an element that also holds selected blocks.
+    """
+    _, blocks = parse_blocks(page)
     if not blocks:
         return ""
     scores = path_ratios(blocks)
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    least = max(0.0, mean - spread)
-    # selected nodes vote with their text; the content root is the deepest holder of most of the vote
-    for (node, _, text, _), s in zip(blocks, scores, strict=True):
-        if s >= least:
-            vote = s * len(text)
-            while node is not None:
-                node.score += vote
-                node = node.up
-    top = root
-    while True:
-        most = max((k for k in top.kids if k.tag in HOLDERS and not k.bad), key=lambda k: k.score, default=None)
-        if most is None or most.score < 0.6 * top.score or not most.score:
-            break
-        top = most
-        if top.tag == "article":
-            break
+    least = mean * (1 - 1e-9) - spread
+    total: dict[str, int] = defaultdict(int)
+    free: dict[str, int] = defaultdict(int)
+    for _, path, text, linked in blocks:
+        total[path] += len(text)
+        free[path] += max(0, len(text) - linked)
+    links = [2 * free[path] < total[path] and node.tag not in HEADINGS for node, path, _, _ in blocks]
+    if all(links):
+        links = [False] * len(blocks)
+    chosen = [s >= least and not x for s, x in zip(scores, links, strict=True)]
+    if not any(chosen):
+        chosen = [not x for x in links]
+    trusted = set()
+    for (node, _, _, _), x in zip(blocks, chosen, strict=True):
+        if x:
+            trusted.add(next((n for n in _up(node) if n.tag in ("article", "main")), None))
+            for n in _up(node):
+                n.chosen += 1
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    top = next(n for n in _up(blocks[first][0]) if n.chosen == sum(chosen))
+    whole = top.tag not in PAGE
+    start = head = first
+    while start and not links[start - 1]:
+        start -= 1
+        if blocks[start][0].tag in HEADINGS:
+            head = start
 
-    def within(node: _Node | None) -> bool:
-        while node is not None and node is not top:
-            node = node.up
-        return node is top
+    def stays(i: int) -> bool:
+        above = list(_up(blocks[i][0]))
+        if chosen[i] or any(n in trusted for n in above):
+            return True
+        within = top in above
+        own = next(n for n in above if n.tag in PARTS)
+        if links[i]:
+            return within and own.chosen > 0 and own.tag not in PAGE
+        if i < first:
+            return i >= head or (within and (whole or i >= start))
+        return within and (whole or i < last or own.chosen > 0)
 
-    return "\n".join(text for node, _, text, _ in blocks if within(node))
+    return "\n".join(text for i, (_, _, text, _) in enumerate(blocks) if stays(i))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -50,3 +50,26 @@ def test_ratios_prefer_prose():
     _, blocks = html.parse_blocks(f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><section>{ARTICLE}</section>")
     scores = html.path_ratios(blocks)
     assert min(scores[-2:]) > max(scores[:2])
+
+
+LONG, SHORT = ("".join(f"<p>{w} paragraph number {i}, with some words. And more of them, here.</p>" for i in range(n)) for w, n in (("One", 7), ("Two", 3)))
+
+
+def plain(page):
+    return html._SPACE.sub(" ", html.re.sub("<[^>]*>", "\n", page)).replace(". One", ".\nOne").replace(". Two", ".\nTwo").strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<main><h1>Title</h1><div>{LONG}</div></main>", "Title\n" + plain(LONG)),
+        (f"<body><h1>Title</h1><div>By me</div><div>{LONG}</div></body>", "Title\nBy me\n" + plain(LONG)),
+        (f"<main><p>lead</p><section>{LONG}</section><section>{SHORT}</section></main>", "lead\n" + plain(LONG) + "\n" + plain(SHORT)),
+        (f"<body><div><p>lead</p><div>{LONG}</div><div>{SHORT}</div></div></body>", "lead\n" + plain(LONG) + "\n" + plain(SHORT)),
+        (f"<body><article>{LONG}</article><article>{SHORT}</article></body>", plain(LONG) + "\n" + plain(SHORT)),
+        (f"<body>{LONG}<div><a href=1>Home</a> <a href=2>About</a></div>{SHORT}<div><a href=3>Next</a></div></body>", plain(LONG) + "\n" + plain(SHORT)),
+        (f"<div id=x>{LONG}<ul><li><a href=1>A source</a><li><a href=2>Another</a></ul></div>", plain(LONG) + "\nA source\nAnother"),
+    ],
+)
+def test_nothing_of_the_content_is_lost(page, want):
+    assert html.main_text(page) == want
