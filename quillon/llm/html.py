@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import map_arrow, prepare
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。、，؟।]")
 
@@ -28,6 +28,7 @@ INLINE = {
 PAGE = {"", "html", "body"}
 PARTS = PAGE | {"div", "section", "article", "main", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CONTENT = {"article", "main"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "header"}
 #: Words in class, id or role that mark page furniture.
 HINTS = {
@@ -37,6 +38,10 @@ HINTS = {
     "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
     "alert", "complementary", "contentinfo", "signup", "login", "discussion",
 }
+#: Words that make a longer name one of a layout: has-sidebar, no-header.
+LAYOUT = {"has", "no", "with", "without"}
+#: Hints that outweigh the content's text at times.
+REPLIES = {"comment", "comments", "commentlist", "replies", "respond", "discussion"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -44,10 +49,10 @@ CLOSES = {
 
 
 class _Node:
-    __slots__ = ("bad", "chosen", "tag", "up")
+    __slots__ = ("bad", "bare", "chosen", "free", "hints", "tag", "up")
 
-    def __init__(self, tag: str, up: _Node | None, bad: bool):
-        self.tag, self.up, self.bad, self.chosen = tag, up, bad, 0
+    def __init__(self, tag: str, up: _Node | None, bad: bool, hints: set[str], bare: set[str]):
+        self.tag, self.up, self.bad, self.hints, self.bare, self.chosen, self.free = tag, up, bad, hints, bare, 0, 0
 
 
 def _up(node: _Node | None) -> Iterator[_Node]:
@@ -56,22 +61,59 @@ def _up(node: _Node | None) -> Iterator[_Node]:
         node = node.up
 
 
-def _furniture(tag: str, attrs: str, stack: list[_Node]) -> bool:
-    inside = any(n.tag in ("article", "main") for n in stack)
-    if tag in BOILERPLATE and not (tag == "header" and inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    words = {w for m in _HINT.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    found = words & HINTS
-    return bool(found - {"header"}) if inside else bool(found)
+def _hints(tag: str, attrs: str, inside: bool) -> tuple[set[str], set[str]]:
+    """The words in class, id and role that are hints, and those of them that are a whole name."""
+    found: set[str] = set()
+    names: set[str] = set()
+    if "=" in attrs and tag not in ("html", "body"):
+        for m in _ATTR.finditer(attrs):
+            if m[1].lower() in ("class", "id", "role"):
+                names.update((m[2] or m[3] or m[4] or "").lower().split())
+    for name in names:
+        words = set(re.split(r"[^a-z0-9]+", name))
+        if not words & LAYOUT:
+            found |= words & HINTS
+    if inside:
+        found.discard("header")
+    return found, found & names
+
+
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, str, int]]) -> None:
+    """Marks as bad the elements with hints, and all within bad ones.
+
+    A hint is ignored on an element that holds an article or main where none has text outside elements with hints, and on one
+    that holds most of the page's unlinked text. The latter does not go for replies beside other text; nor, beside the text
+    of an article or main, for elements outside it or with a hint as a whole name, unless they hold one themselves.
+    """
+    holders: set[_Node] = set()
+    whole, beside, apart = 0, False, False
+    for node, _, text, linked in blocks:
+        above, free = list(_up(node)), max(0, len(text) - linked)
+        whole += free
+        for n in above:
+            n.free += free
+        hinted = any(n.hints and n.tag not in CONTENT for n in above)
+        at = next((k for k, n in enumerate(above) if n.tag in CONTENT and not n.hints), None)
+        if not hinted:
+            beside |= free > 0
+            apart |= free > 0 and at is not None
+        elif at is not None:
+            holders.update(above[at:])
+    for n in nodes:
+        if n.hints and n.tag not in CONTENT:
+            inside = any(m.tag in CONTENT for m in _up(n.up))
+            most = 2 * n.free > whole and not (beside and n.bare & REPLIES)
+            most = most and (n in holders or not apart or (inside and not n.bare))
+            n.bad |= not most and (apart or n not in holders)
+        n.bad |= n.up.bad
 
 
 def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, int]]]:
     """The element tree, and per text block its element, tag path, text and characters within links."""
     page = page or ""
-    root = _Node("", None, False)
+    root = _Node("", None, False, set(), set())
     stack = [root]
+    nodes: list[_Node] = []
     blocks: list[tuple[_Node, str, str, int]] = []
     held: list[str] = []
     linked = 0
@@ -146,13 +188,17 @@ def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, i
                 elif stack[k].tag not in INLINE:
                     break
         up = stack[-1]
-        node = _Node(tag, up, up.bad or _furniture(tag, attrs, stack))
+        inside = any(n.tag in CONTENT for n in stack)
+        bad = tag in BOILERPLATE and not (tag == "header" and inside)
+        node = _Node(tag, up, up.bad or bad, *_hints(tag, attrs, inside))
+        nodes.append(node)
         if not attrs.endswith("/") or tag not in INLINE:
             stack.append(node)
         if tag not in INLINE:
             owner = node
     flush()
-    return root, blocks
+    _settle(nodes, blocks)
+    return root, [b for b in blocks if not b[0].bad]
 
 
 def path_ratios(blocks: list[tuple[_Node, str, str, int]], sigma: float = 1.0) -> list[float]:
@@ -208,7 +254,7 @@ def main_text(page: str | None) -> str:
     trusted = set()
     for (node, _, _, _), x in zip(blocks, chosen, strict=True):
         if x:
-            trusted.add(next((n for n in _up(node) if n.tag in ("article", "main")), None))
+            trusted.add(next((n for n in _up(node) if n.tag in CONTENT), None))
             for n in _up(node):
                 n.chosen += 1
     first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)

@@ -73,3 +73,25 @@ def plain(page):
 )
 def test_nothing_of_the_content_is_lost(page, want):
     assert html.main_text(page) == want
+
+
+REPLY = "<div class='comments'>" + "<article class='comment'><p>I disagree with it, strongly.</p></article>" * 9 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'>{ARTICLE}</div>",
+        f"<div id='page-with-comments'><article>{ARTICLE}</article></div>",
+        f"<div class='layout no-header'><div class='sidebar'>Other things, to read.</div><article>{ARTICLE}</article></div>",
+        f"<div class='widget'><div class='sidebar'>Other things, to read.</div><article>{ARTICLE}</article></div>",
+        f"<div class='post comments-open'>{ARTICLE}</div>",
+        f"<div data-id='search' title='id=search'>{ARTICLE}</div><div id=search>Search this site, now.</div>",
+        f"<div id='search-page'><main>{ARTICLE}</main></div>",
+        f"<article>{ARTICLE}</article>{REPLY}",
+        f"<div class='ad'>{LONG}</div><article>{ARTICLE}</article><div class='ad-box'>{LONG}</div>",
+        f"<div class='page has-sidebar'><div id='content'>{ARTICLE}{REPLY}</div></div>",
+    ],
+)
+def test_hints_of_wrappers(page):
+    assert html.main_text(page) == TEXT
