@@ -19,7 +19,16 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。、，؟।]")
 
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "math", "object"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+#: Elements without text of the page, whose end is found by their tags.
+FOREIGN = {"svg", "math", "object"}
+#: Within them, HTML in svg and math is held by these; elsewhere the start of a block ends svg and math, as in browsers.
+HTML_WITHIN = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+BREAKS = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5",
+    "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span",
+    "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var", "article", "section", "main",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
@@ -108,6 +117,36 @@ def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, str, int]]) -> No
         n.bad |= n.up.bad
 
 
+def _foreign_end(page: str, at: int, tag: str, outer: set[str]) -> int:
+    """Where the content of an svg, math or object that starts at a position ends.
+
+    An element without an end tag ends where another one ends it; of an object, the content then counts as the page's.
+    """
+    open_: dict[str, int] = defaultdict(int)
+    open_[tag] = 1
+    start = at
+    while (m := _MARKUP.search(page, at)) is not None:
+        at = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if open_[name]:
+                open_[name] -= 1
+                if not open_[tag]:
+                    return at
+            elif name in outer:
+                return start if tag == "object" else m.start()
+        elif tag != "object" and name in BREAKS and not any(open_[k] for k in HTML_WITHIN):
+            return m.start()
+        elif tag == "object" and name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif name not in VOID and not (m[3] or "").endswith("/"):
+            open_[name] += 1
+    return start if tag == "object" else len(page)
+
+
 def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, int]]]:
     """The element tree, and per text block its element, tag path, text and characters within links."""
     page = page or ""
@@ -173,6 +212,10 @@ def parse_blocks(page: str | None) -> tuple[_Node, list[tuple[_Node, str, str, i
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not attrs.endswith("/") else None
             at = end.end() if end else at if attrs.endswith("/") else len(page)
             continue
+        if tag in FOREIGN:
+            if not attrs.endswith("/"):
+                at = _foreign_end(page, at, tag, {n.tag for n in stack})
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()

@@ -95,3 +95,25 @@ REPLY = "<div class='comments'>" + "<article class='comment'><p>I disagree with
 )
 def test_hints_of_wrappers(page):
     assert html.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        "<svg><path d='x'/>",
+        "<svg viewBox='0'><g><text>Label</text>",
+        "<math><mi>x</mi>",
+        "<object data=x>",
+        "<p><object data=x></p>",
+        "<object><object data=x>Old browser</object> too</object>",
+        "<svg><title>Label<g></title><foreignObject><p>Label</p></foreignObject></svg>",
+        "<svg/>",
+    ],
+)
+def test_unclosed_foreign_elements(odd):
+    assert html.main_text(f"<article>{odd}{ARTICLE}</article>") == TEXT
+    assert html.main_text(f"<article>{ARTICLE}</article><p>{odd}</p><article>{ARTICLE}</article>") == TEXT + "\n" + TEXT
+
+
+def test_closed_foreign_elements_do_not_part_a_block():
+    assert html.main_text("<article><p>One <svg><text>no</text></svg>two <math><mi>x</mi></math>three.</article>") == "One two three."
