@@ -132,7 +132,12 @@ _SKETCH = "doc_id {id}, n_shingles long, cls binary, bands array<long>, prints b
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set; null if empty), bands, half of each band, 8 bits of each signature value."""
+    """doc_id, n_shingles, cls (a digest of the set; null if empty), bands, half of each band, 8 bits of each signature value.
+
+    Then the columns of docs besides doc_id and text.
+    """
+    more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    names = [f.name for f in more]
 
     def sketches(batch: pa.RecordBatch) -> dict:
         n, cls, keys, prints, sigs = [], [], [], [], []
@@ -157,9 +162,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             "bands": pa.array(keys, pa.list_(pa.int64())),
             "prints": pa.array(prints, pa.binary()),
             "sig": pa.array(sigs, pa.binary()),
-        }
+        } | {n: batch.column(n) for n in names}
 
-    return map_arrow(docs, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()), sketches)
+    made = _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString())
+    return map_arrow(docs, ", ".join([made, *(f"{f.name} {f.dataType.simpleString()}" for f in more)]), sketches)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -425,8 +431,13 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Links are sought in three steps: each class with the best of its buckets' first classes; of each two components
     that still share a bucket the best pair; and then all classes of components that still share one.
     """
-    prepare(docs.sparkSession)
-    some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _verdicts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+
+
+def _verdicts(some: DataFrame) -> DataFrame:
+    """The rows of near_dedup, each with the columns of its row besides doc_id and text."""
+    prepare(some.sparkSession)
+    more = [c for c in some.columns if c not in ("doc_id", "text")]
     sketches = table(sketch(some), "sketch")
     classes = table(
         sketches.where("cls is not null")
@@ -434,7 +445,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("prints").alias("prints"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
         "classes",
     )
-    rows = table(sketches.select("doc_id", "n_shingles", "cls"), "rows")
+    rows = table(sketches.select("doc_id", "n_shingles", "cls", *more), "rows")
     discard(sketches)
     buckets = classes.select("cls", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
@@ -446,9 +457,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     per = named.join(least, "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(per, "cls", "left")
+    out = rows.join(per, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -466,6 +477,11 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with the columns of docs."""
-    gone = near_dedup(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, one document of each group, with the columns of docs.
+
+    Rows that share an id but not a text are judged apart.
+    """
+    digest = F.xxhash64(docs["text"])
+    rows = _verdicts(docs.select("doc_id", "text", digest.alias("digest"))).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = rows.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (digest == gone["__digest"]), "left_anti")

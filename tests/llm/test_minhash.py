@@ -130,3 +130,9 @@ def test_stage_keeps_one_of_each_group(spark):
     assert out.columns == docs.columns
     want = {d for d, _, c in brute(rows) if d == c}
     assert {str(r.doc_id) for r in out.collect()} == want
+
+
+def test_stage_judges_rows_with_a_shared_id_apart(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    docs = frame(spark, [(3, one), (7, one), (7, two), (1, three), (3, three)])
+    assert sorted((r.doc_id, r.text) for r in M.keep_one(docs).collect()) == sorted([(3, one), (7, two), (1, three)])
