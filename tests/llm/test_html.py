@@ -1,5 +1,9 @@
 """Main text of pages of several makes."""
 
+import math
+import re
+import time
+
 import pytest
 
 from quillon.llm import html
@@ -56,7 +60,7 @@ LONG, SHORT = ("".join(f"<p>{w} paragraph number {i}, with some words. And more
 
 
 def plain(page):
-    return html._SPACE.sub(" ", html.re.sub("<[^>]*>", "\n", page)).replace(". One", ".\nOne").replace(". Two", ".\nTwo").strip()
+    return re.sub(r"\s+", " ", re.sub("<[^>]*>", "\n", page)).replace(". One", ".\nOne").replace(". Two", ".\nTwo").strip()
 
 
 @pytest.mark.parametrize(
@@ -117,3 +121,92 @@ def test_unclosed_foreign_elements(odd):
 
 def test_closed_foreign_elements_do_not_part_a_block():
     assert html.main_text("<article><p>One <svg><text>no</text></svg>two <math><mi>x</mi></math>three.</article>") == "One two three."
+
+
+PAIR = "<p>A first paragraph, which is long enough to be one; it says a thing or two.</p><p>A second one, which goes on; it is no shorter, and ends.</p>"
+PAIR_TEXT = "A first paragraph, which is long enough to be one; it says a thing or two.\nA second one, which goes on; it is no shorter, and ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div>Home</div><div>About</div><div>Buy</div>{PAIR}",
+        f"<body><div>Home About Buy</div>{PAIR}",
+        f"<div><div>Home</div><div>About</div><div>Buy</div>{PAIR}</div>",
+        f"<div><div><ul><li>Home<li>About</ul></div>{PAIR}<div>Imprint</div></div>",
+        f"<div class='post alert-story'>{PAIR}</div>",
+        f"<div class='post alert-story'>{PAIR}</div><div>Copyright me, 2020.</div>",
+        f"<div id='search-results-article'>{PAIR}</div>",
+        f"<div class='discussion'>{PAIR}</div><div>Copyright me, 2020.</div>",
+        f"<form id='whole'><div>{PAIR}</div><input name=q></form>",
+        f"<head><title>x</title>{PAIR}",
+        f"<body>{PAIR}</body></html><!-- late --!>",
+    ],
+)
+def test_paths_decide_and_names_only_help(page):
+    assert html.main_text(page) == PAIR_TEXT
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p title='it's'>Hello world.</p><p>Don't worry, be happy.</p></article>", "Hello world.\nDon't worry, be happy."),
+        ("<p>super<wbr>califragilistic, one<img src=x>two.", "supercalifragilistic, onetwo."),
+        ("<p>a &am<b>p; b</b>, see &lt;x&gt; 1 < 2.</p>", "a &amp; b, see <x> 1 < 2."),
+        ("<p>one <object><p>old</p>browser</object>two.", "one two."),
+        ("<p>one <object>old browser</object>two.", "one two."),
+        ("<p>one <object>shown.", "one shown."),
+        ("<p a=b c = 'd>' e=\"f>\" / g=h/i>text, here.", "text, here."),
+        ("<p>kept, this.</p><p class='lost", "kept, this."),
+        ("<p>x, y.</p><!--><p>z, w.</p><!---><p>v.</p>", "x, y.\nz, w.\nv."),
+        ("<p>x, y.</p></ odd><?php echo '<p>' ?><p>z, w.</p>", "x, y.\n' ?>\nz, w."),
+        ("<table><tr><td>One, two.<td>Three, four.<tr><td>Five, six.</div></table>", "One, two.\nThree, four.\nFive, six."),
+    ],
+)
+def test_markup_is_read_as_browsers_do(page, want):
+    assert html.main_text(page) == want
+
+
+SHAPES = ["<a ", "<div>x", "x\nx", "<object>x", "<object>x</object>", "<b><i></u>", "<svg><g>", "<i><p></p>", "<u><div><i></u>", "<a b='", "<!--", "<p>x</div>", "<td>x<tr>", "&amp"]
+
+
+@pytest.mark.parametrize("shape", [*SHAPES, "nested"])
+def test_time_is_linear(shape):
+    page = lambda n: "<object>" * n + "</object>" * n if shape == "nested" else shape * n
+
+    def took(n):
+        began = time.perf_counter()
+        html.main_text(page(n))
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(64_000) < 40 * took(8_000) + 0.5
+    assert took(64_000) < 10
+
+
+def test_ratios_are_those_of_a_plain_count():
+    nodes, blocks = html.parse_blocks(f"<div class=ad>Buy, now.</div><nav><a href=1>One</a></nav><div>{LONG}<ul><li>a<li>b.</ul></div><main>{SHORT}</main>")
+
+    def trail(node):
+        out = []
+        while node is not None:
+            if node.block is node:
+                out.append((node.tag, *sorted(node.hints)))
+            node = node.up
+        return tuple(out)
+
+    rows = [(trail(n), len(t) - linked, sum(c in ".,;:!?" for c in t)) for n, _, t, linked in blocks]
+
+    def ratio(path):
+        own = [(a, b) for p, a, b in rows if p == path]
+        return math.sqrt(sum(a for a, _ in own) / len(own) * (1 + sum(b for _, b in own) / len(own)))
+
+    def smooth(i):
+        near = [(math.exp(-(i - j) ** 2 / 2), ratio(rows[j][0])) for j in range(len(rows)) if abs(i - j) <= 2]
+        return sum(w * r for w, r in near) / sum(w for w, _ in near)
+
+    want = []
+    for path, _, _ in rows:
+        own = [smooth(i) for i in range(len(rows)) if rows[i][0] == path]
+        want.append(sum(own) / len(own))
+    assert html.path_ratios(blocks) == pytest.approx(want)
