@@ -22,32 +22,34 @@ from quillon.operators import shred as S
 TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
 
 
-def _udf(kind: T.DataType, fn: Callable, *cols: Column) -> Column:
-    """fn over the Python values of cols, an Arrow batch at a time; rows with a NULL first column are NULL."""
+def make_udf(kind: T.DataType, fn: Callable, one: bool = False, nulls: bool = False):
+    """An Arrow UDF of fn over Python values, of one argument or any number. NULL in gives NULL out unless nulls is set."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
 
     def run(*arrays: pa.Array) -> pa.Array:
-        lists = [a.to_pylist() for a in arrays]
-        return pa.array([None if row[0] is None else fn(*row) for row in zip(*lists, strict=True)], arrow)
+        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
+        return pa.array([None if not nulls and None in row else fn(*row) for row in rows], arrow)
 
-    if len(cols) == 1:
+    if one:
 
-        def one(a: pa.Array) -> pa.Array:
+        def single(a: pa.Array) -> pa.Array:
             return run(a)
 
-        return arrow_udf(one, kind)(cols[0])
+        return arrow_udf(single, kind)
 
     def many(*a: pa.Array) -> pa.Array:
         return run(*a)
 
-    return arrow_udf(many, kind)(*cols)
+    return arrow_udf(many, kind)
 
 
-def _all(kind: T.DataType, fn: Callable, *cols: Column) -> Column:
-    """As _udf, but fn sees NULLs too."""
-    return _udf(kind, lambda _, *row: fn(*row), F.lit(True), *cols)
+def _udf(kind: T.DataType, fn: Callable, *cols: Column) -> Column:
+    """fn over the Python values of cols, an Arrow batch at a time; rows with a NULL first column are NULL."""
+    if len(cols) == 1:
+        return make_udf(kind, fn, one=True)(cols[0])
+    return make_udf(kind, lambda first, *row: None if first is None else fn(first, *row), nulls=True)(*cols)
 
 
 def _col(c: Column | str) -> Column:
@@ -271,21 +273,21 @@ class Field:
         return None if at is P.MISSING else coerce.coerce(at, self.kind, mode, self.where)
 
 
-def transform(document: Column | str, spec: dict, on_type_mismatch: str = "convert") -> Column:
-    """A struct of typed fields. Mismatches convert, become NULL ('null') or fail ('fail')."""
+def projection(spec: dict, on_type_mismatch: str = "convert") -> tuple[T.StructType, Callable]:
+    """The type of a projection, and the function from a tree to its row."""
     if not isinstance(spec, dict) or not spec:
         raise DocError("transform needs a non-empty constant mapping")
     mode = on_type_mismatch.strip().lower()
     if mode not in ("convert", "null", "fail"):
         raise DocError("on_type_mismatch must be convert, null or fail")
     fields = [Field(n, s) for n, s in spec.items()]
-    kind = T.StructType([T.StructField(f.name, f.spark_type) for f in fields])
+    return T.StructType([T.StructField(f.name, f.spark_type) for f in fields]), lambda tree: {f.name: f.read(tree, mode) for f in fields}
 
-    def project(text: str) -> dict:
-        tree = canon.parse(text)
-        return {f.name: f.read(tree, mode) for f in fields}
 
-    return _udf(kind, project, _col(document))
+def transform(document: Column | str, spec: dict, on_type_mismatch: str = "convert") -> Column:
+    """A struct of typed fields. Mismatches convert, become NULL ('null') or fail ('fail')."""
+    kind, project = projection(spec, on_type_mismatch)
+    return _udf(kind, lambda text: project(canon.parse(text)), _col(document))
 
 
 # flattening
@@ -417,47 +419,47 @@ def merge_patch(target: Column | str, *patches: Column | str) -> Column:
     """RFC 7396 from left to right. A NULL target is an empty document; a NULL patch gives NULL, which later ones start anew."""
     if not patches:
         return _col(target)
+    return make_udf(TEXT, patch_texts, nulls=True)(_col(target), *map(_col, patches))
 
-    def fold(*texts: str | None) -> str | None:
-        now = None if texts[0] is None else canon.parse(texts[0])
-        gone = texts[0] is None
-        for t in texts[1:]:
-            if t is None:
-                gone = True
-                continue
-            now = algebra.merge_patch({} if gone else now, canon.parse(t))
-            gone = False
-        return None if gone else canon.render(now)
 
-    return _all(TEXT, fold, _col(target), *map(_col, patches))
+def patch_texts(*texts: str | None) -> str | None:
+    now = None if texts[0] is None else canon.parse(texts[0])
+    gone = texts[0] is None
+    for t in texts[1:]:
+        if t is None:
+            gone = True
+            continue
+        now = algebra.merge_patch({} if gone else now, canon.parse(t))
+        gone = False
+    return None if gone else canon.render(now)
 
 
 def overlay(base: Column | str, *patches: Column | str) -> Column:
     """base, with the keys that it lacks from the patches."""
+    return make_udf(TEXT, overlay_texts, nulls=True)(_col(base), *map(_col, patches))
 
-    def fold(*texts: str | None) -> str | None:
-        now = None if texts[0] is None else canon.parse(texts[0])
-        for t in texts[1:]:
-            if t is not None:
-                more = canon.parse(t)
-                now = algebra._bare(more) if texts[0] is None and now is None else algebra.overlay(now, more)
-        return None if now is None and texts[0] is None else canon.render(now)
 
-    return _all(TEXT, fold, _col(base), *map(_col, patches))
+def overlay_texts(*texts: str | None) -> str | None:
+    now = None if texts[0] is None else canon.parse(texts[0])
+    for t in texts[1:]:
+        if t is not None:
+            more = canon.parse(t)
+            now = algebra._bare(more) if texts[0] is None and now is None else algebra.overlay(now, more)
+    return None if now is None and texts[0] is None else canon.render(now)
 
 
 def diff(prev: Column | str, cur: Column | str, arrays: str = "atomic") -> Column:
     """What changed from prev to cur; `{}` for nothing, also between NULLs. Equal texts need no parse."""
     mode = algebra.array_mode(arrays)
+    return make_udf(TEXT, lambda a, b: diff_texts(a, b, mode), nulls=True)(_col(prev), _col(cur))
 
-    def change(a: str | None, b: str | None) -> str:
-        if a == b:
-            return "{}"
-        x = algebra.NULL if a is None else canon.parse(a)
-        y = algebra.NULL if b is None else canon.parse(b)
-        return canon.render(algebra.diff(x, y, mode))
 
-    return _all(TEXT, change, _col(prev), _col(cur))
+def diff_texts(a: str | None, b: str | None, mode: str = "atomic") -> str:
+    if a == b:
+        return "{}"
+    x = algebra.NULL if a is None else canon.parse(a)
+    y = algebra.NULL if b is None else canon.parse(b)
+    return canon.render(algebra.diff(x, y, mode))
 
 
 def diff_shredded(prev: Column | str, cur: Column | str, spec: dict | S.Spec, arrays: str = "atomic") -> Column:
@@ -469,7 +471,7 @@ def diff_shredded(prev: Column | str, cur: Column | str, spec: dict | S.Spec, ar
         y = algebra.NULL if b is None else S.reconstruct_tree(b, made, canon.parse)
         return canon.render(algebra.diff(x, y, mode))
 
-    return _all(TEXT, change, _col(prev), _col(cur))
+    return make_udf(TEXT, change, nulls=True)(_col(prev), _col(cur))
 
 
 # lanes

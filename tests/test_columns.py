@@ -209,3 +209,57 @@ def test_sql_names(spark):
     assert (r.x, r.y, r.k, r.n, r.t, r.bad, r.m, r.same, r.v, r.e, r.el, r.o, r.q) == (
         "[1,2]", "2", ["a"], 2, "OBJECT", None, "{}", "{}", True, 2, ["1", "2"], '{"a":1,"b":2}', '"x\\""',
     )
+
+
+def test_sql_names_see_null(spark):
+    sql.register(spark)
+    one = spark.sql(
+        """SELECT doc_diff(NULL, '{"p":4}') AS a, doc_diff('{"p":4}', NULL) AS b, doc_diff(NULL, NULL) AS c, doc_merge_patch(NULL, '{"p":4}') AS d,
+           doc_merge_patch('{"p":4}', NULL) AS e, doc_merge_patch('{"p":4}', '{"q":5}', '{"p":null}') AS f, doc_overlay(NULL, '{"p":4,"q":null}') AS g,
+           doc_overlay('{"p":4}', NULL, '{"q":5}') AS h, doc_diff('{"l":[3]}', '{"l":[3,8]}', 'counts') AS i, doc_extract(NULL, '$.p') AS j,
+           doc_extract('{"p":4}', NULL) AS k, doc_type('{"p":[2]}', '$.p') AS l, doc_keys('{"p":{"z":0,"y":1}}', '$.p') AS m,
+           doc_array_length('{"p":[2,2]}', '$.p') AS n, doc_extract_strings('{"p":4,"s":"t"}', array('s', 'none', '$.p')) AS o,
+           doc_entries('{"p":[6]}', 'dotted') AS q, doc(NULL) AS r, doc_validate(NULL) AS s"""
+    ).first()
+    assert one[:9] == ('{"p":4}', '{"p":null}', "{}", '{"p":4}', None, '{"q":5}', '{"p":4}', '{"p":4,"q":5}', C_COUNTS)
+    assert one[9:15] == (None, None, "ARRAY", ["y", "z"], 2, ["t", None, "4"])
+    assert [tuple(e) for e in one.q] == [("p.0", "6")] and one.r is None and one.s is None
+
+
+C_COUNTS = '{"l":{"added":1,"removed":0}}'
+
+
+def test_sql_names_match_columns_on_null(spark):
+    sql.register(spark)
+    docs = [None, '{"a":{"x":1}}', '{"a":{"x":2,"y":[1]},"b":null}', "3", "[1,2]"]
+    df = spark.createDataFrame([(a, b) for a in docs for b in docs], "a string, b string")
+    df.createOrReplaceTempView("null_pairs")
+    got = spark.sql("SELECT doc_merge_patch(a, b) AS m, doc_overlay(a, b) AS o, doc_diff(a, b) AS d, a, b FROM null_pairs")
+    want = df.select(C.merge_patch("a", "b").alias("m"), C.overlay("a", "b").alias("o"), C.diff("a", "b").alias("d"), "a", "b")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_sql_reads_shredded_documents(spark):
+    sql.register(spark)
+    spec = {"k": "BIGINT", "$.o.s": "VARCHAR", "l": "STRUCT(p BIGINT)[]"}
+    texts = ['{"k":7,"l":[{"p":1,"q":"a"},3],"o":{"s":"t","u":1.50}}', '{"k":"seven","l":4}', "[5]", None]
+    df = spark.createDataFrame([(t,) for t in texts], "d string").select("d", C.shred("d", spec).alias("j"))
+    df.createOrReplaceTempView("shredded_docs")
+    rows = spark.sql(
+        """SELECT d, doc(j) = doc(d) AS same, doc_extract_string(j, 'k') AS k, doc_extract(j, '$.l[0]') AS l, doc_type(j) AS t, doc_keys(j, 'o') AS keys,
+           doc_merge_patch(j, '{"k":null}') AS m, doc_diff(j, d) AS none, doc_validate(j) AS valid FROM shredded_docs"""
+    ).collect()
+    assert [r.same for r in rows] == [True, True, True, None]
+    assert [r.k for r in rows] == ["7", "seven", None, None]
+    assert [r.l for r in rows] == ['{"p":1,"q":"a"}', None, None, None]
+    assert [r["keys"] for r in rows] == [["s", "u"], None, None, None]
+    assert [r.none for r in rows] == ["{}"] * 4 and [r.valid for r in rows] == [True, True, True, None]
+    assert [r.m for r in rows][1] == '{"l":4}'
+    sql.register_transform(spark, "my_fields", {"k": "BIGINT", "s": {"type": "VARCHAR", "path": "$.o.s"}})
+    sql.register_shred(spark, "my_lanes", {"k": "BIGINT"})
+    got = spark.sql("SELECT my_fields(j) AS f, my_lanes(j).shreds.k AS k FROM shredded_docs").collect()
+    assert [r.f and tuple(r.f) for r in got] == [(7, "t"), (None, None), (None, None), None] and [r.k for r in got] == [7, None, None, None]
+    view = sql.document_view(df, "routed_docs", "j", {"k": ("k", "BIGINT"), "s": "$.o.s"})
+    assert view.columns == ["d", "j", "k", "s"]
+    assert [tuple(r) for r in spark.sql("SELECT k, s FROM routed_docs WHERE k > 3").collect()] == [(7, "t")]
+    assert sql.suggest(spark, "shredded_docs", "d", min_presence=0.1) is not None
