@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches that executors hand to Python hold at most so many bytes, whatever the length of a text.
@@ -28,16 +29,30 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by bytes and sees to it that a checkpoint folder is named."""
+    """Bounds Arrow batches by bytes, for the whole session, as there is no such setting per query."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def free_prefix(columns: list[str], base: str) -> str:
+    """base, longer by underscores where a column begins with it, whatever its case."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base += "_"
+    return base
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df by name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """A folder for this application below spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    """A folder for this application below spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -45,16 +60,19 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quillon-{sc.applicationId}"
 
 
-def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: no lineage, and any executor may be lost."""
+def table(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
+    """Writes df to the shared scratch folder and reads it back: no lineage, and any executor may be lost.
+
+    A partitioned table has a folder per value of the column; filters on it leave the other folders unread.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     if not _scratch:  # registered after Spark's own handlers, so that it runs before them
         atexit.unregister(drop_tables)
         atexit.register(drop_tables)
     _scratch.append((spark, path))
-    made = spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path).select(*columns_of(df))
     made._quillon_path = path
     return made
 
@@ -97,13 +115,16 @@ def release() -> None:
 def map_batches(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow that releases a worker's free memory when a task ends."""
 
+    names = df.columns
+    odd = any(set(n) & set(".`") for n in names)  # mapInArrow looks columns up by name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            yield from fn((b.rename_columns(names) for b in batches) if odd else batches)
         finally:
             release()
 
-    return df.mapInArrow(run, schema)
+    return (df.toDF(*[f"c{k}" for k in range(len(names))]) if odd else df).mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:

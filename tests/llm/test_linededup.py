@@ -90,3 +90,77 @@ def test_cuckoo_filter():
     assert f.insert(high[:2000], low[:2000]) and f.contains(high, low).all()
     small = L.CuckooFilter(np.zeros((4, 4), np.uint16))
     assert not small.insert(high[:40], low[:40])
+
+
+def filters(ix):
+    return {r.shard: (r.n_keys, L.CuckooFilter.read(bytes(r.data), bytes(r.stash))) for r in ix.filters().collect()}
+
+
+def test_filters_follow_insertions_and_deletions(spark):
+    rows = [r for r in documents() if r[0] is not None]
+    first, second = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    whole, grown = L.LineIndex.build(frame(spark, rows)), L.LineIndex.build(frame(spark, first)).insert(frame(spark, second))
+    for ix in (whole, grown, grown.delete(frame(spark, second)), grown.delete(frame(spark, rows))):
+        held = filters(ix)
+        per = {}
+        for r in ix.repeated().collect():
+            per.setdefault(r.shard, []).append(bytes(r.k))
+        assert sorted(held) == list(range(L.SHARDS))
+        assert {s: n for s, (n, _) in held.items() if n} == {s: len(k) for s, k in per.items()}
+        assert all(held[s][1].contains(*L._halves(k)).all() for s, k in per.items())
+
+
+def test_a_change_reads_and_replaces_its_own_shards_alone(spark):
+    rows = [r for r in documents() if r[0] is not None]
+    index = L.LineIndex.build(frame(spark, rows))
+    one = frame(spark, [(1000, rows[3][1].split("\n")[0]), (1001, "one new line that is quite long enough to be counted")])
+    touched = {r.shard for r in L.references(one.select("doc_id", "text")).collect()}
+    assert 1 <= len(touched) <= 2
+    grown = index.insert(one)
+    old, new = grown.parts
+    assert new.live == touched and old.live == set(range(L.SHARDS)) - touched and old.refs is index.parts[0].refs
+    plan = index._live("refs", "shard int, k binary, doc_id bigint, n long", frozenset(touched))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "shard" in plan.split("PartitionFilters")[1][:120]
+    assert {r.shard for r in index._live("refs", "shard int, k binary, doc_id bigint, n long", frozenset(touched)).select("shard").distinct().collect()} <= touched
+    again = lambda ix: sorted((bytes(r.k), r.doc_id, r.n) for r in ix.refs.collect())
+    assert again(grown) == again(L.LineIndex.build(frame(spark, rows + [(r.doc_id, r.text) for r in one.collect()])))
+
+
+def test_filter_groups_and_hot_lines(spark, monkeypatch):
+    rows = documents() + [(200 + d, "one line that every one of these documents holds, word by word\nshort") for d in range(300)]
+    monkeypatch.setattr(L, "FILTER_BYTES", 100)  # a filter has 32 bytes at least
+    assert digests(L.line_dedup(frame(spark, rows), broadcast_keys=0)) == brute(rows)
+    monkeypatch.setattr(L, "HOT", 1)  # no line is hot
+    assert digests(L.line_dedup(frame(spark, rows), broadcast_keys=0)) == brute(rows)
+
+
+def test_filters_prune_before_the_shuffle(spark):
+    docs = frame(spark, documents())
+    index = L.LineIndex.build(docs.select("doc_id", "text"))
+    lines = L.references(docs.select("doc_id", "text")).drop("n")
+    known = {bytes(r.k) for r in index.repeated().collect()}
+    left = L._passing(lines, index._broadcast(list(range(L.SHARDS)))).collect()
+    assert known and {bytes(r.k) for r in left} >= known & {bytes(r.k) for r in lines.collect()}
+    assert len(left) < 0.8 * lines.count()
+
+
+def test_stage_with_clashing_names_and_nulls(spark):
+    rows = documents()
+    df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], "doc_id long, text string, `__l_text` string, __l_ long, `a.b` string")
+    for bound in (L.BROADCAST_KEYS, 0):
+        out = L.dedup_texts(df, broadcast_keys=bound)
+        assert out.columns == df.columns
+        got = sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
+        assert got == sorted((d, h) for d, _, _, h in brute(rows))
+    assert L.dedup_texts(df.limit(0)).count() == 0
+
+
+def test_a_full_filter_misses_nothing():
+    rng = np.random.default_rng(3)
+    high, low = rng.integers(0, 2**64, (2, 60), dtype=np.uint64)
+    full = L.CuckooFilter(np.zeros((4, 4), np.uint16))
+    assert not full.insert(high, low) and len(full.stash) == 44
+    again = L.CuckooFilter.read(*full.written())
+    assert again.contains(high, low).all()
+    again.delete(high, low)
+    assert not again.stash and not again.buckets.any()
