@@ -77,6 +77,24 @@ def table(df: DataFrame, name: str = "t", partition_by: str | None = None) -> Da
     return made
 
 
+#: A key with more than the share of one in so many rows is hot; there are fewer hot keys than this, whatever the rows.
+HOT = 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """left joined with right, which has one row per key, where a few keys may hold most rows of left.
+
+    counts has each key with m, its rows in left. The rows of right for hot keys, fewer than HOT, are broadcast; the rows
+    of left that meet them are not shuffled. left is read twice, so it should be a table.
+    """
+    total = counts.agg(F.sum("m")).first()[0] or 0
+    hot = table(counts.where(F.col("m") * HOT > total).select(on), "hot")
+    if not hot.count():
+        return left.join(right, on)
+    few = table(right.join(F.broadcast(hot), on), "hot")
+    return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for made in tables:

@@ -3,6 +3,10 @@
 Documents with equal shingle sets form a class, which takes part once. Classes that share a band meet at the bucket's
 first class; links are confirmed on full sets. Where a bucket still holds several components, its classes are compared
 across components block by block, so that a large group costs rows for its members and not for its pairs.
+
+A text is found again by its row's id and a hash of it, so that null and repeated ids cost nothing. Joins on buckets,
+first classes, hubs and components take their few hot keys apart (skew_join); all others have a bounded number of rows
+per key.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, map_arrow, map_batches, prepare, table
+from quillon.llm.common import discard, free_prefix, map_arrow, map_batches, prepare, skew_join, table
 
 WIDTH, PERCENT = 5, 75
 #: Permutations of each kind of band; a permutation gives two values, so 120 of them fill 48 bands of 5 rows.
@@ -23,7 +27,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 AGREE = 0.6
 #: Classes of a bucket whose sketches (about 700 bytes each) a task holds to compare others with.
 BLOCK = 2048
-#: Classes whose whole sets a task holds to compare others with.
+#: Classes of a bucket that are compared with one block by one task, one after the other.
+GUESTS = 4096
+#: Classes whose whole sets a task holds to compare others with, and classes that it compares with them.
 SETS = 256
 #: Members of one first class that are confirmed together.
 SALT = 256
@@ -176,10 +182,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose signatures agree enough, with the share that does; sets of too unlike sizes go."""
+    """The pairs (a, b) of a table whose signatures agree enough, with the share that does; sets of too unlike sizes go."""
     one = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     two = sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    first = skew_join(pairs, one, "a", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")))
+    both = first.join(two, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
 
     def agree(batch: pa.RecordBatch) -> dict:
         x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -191,39 +198,63 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return map_arrow(both, "a binary, b binary, agree double", agree)
 
 
-def _with_texts(roles: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """roles (cls and more) with the text of each class, from the rows of docs with the class's least id."""
-    roles = table(roles.join(classes.select("cls", "id"), "cls"), "roles")
-    wanted = F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select(*[c for c in roles.columns if c != "id"], "text")
+class _Texts:
+    """Where the texts of classes are: in the row of docs (doc_id, text, h) with the id and hash of each class's first row."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, repeats: bool):
+        self.docs, self.classes, self.repeats = docs, classes, repeats
+
+    def of(self, roles: DataFrame) -> DataFrame:
+        """roles (cls and more) with the text of each class; repeated rows may bring a role once per task."""
+        names = roles.columns
+        roles = table(roles.join(self.classes.select("cls", F.col("rep.doc_id").alias("__id"), F.col("rep.h").alias("__h")), "cls"), "roles")
+        wanted = F.broadcast(roles) if roles.count() <= BROADCAST_ROLES else roles
+        same = self.docs["doc_id"].eqNullSafe(wanted["__id"]) & (self.docs["h"] == wanted["__h"])
+        got = self.docs.join(wanted, same).select(*names, "text")
+        return map_batches(got, got.schema, lambda batches: _once(batches, names)) if self.repeats else got
+
+
+def _once(batches, names: list[str]):
+    """Each role once; as many are held as a task's rows have."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        new = []
+        for role in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            new.append(role not in seen)
+            seen.add(role)
+        yield batch.filter(pa.array(new))
 
 
 def _own(text: str | None, cls: bytes) -> np.ndarray | None:
-    """The set of a text if it is the class's; rows that share an id may hold another text."""
+    """The set of a text if it is the class's; another text may have the same id and hash."""
     found = shingles(text)
     return found if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == cls else None
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """The pairs (a, b) of a table whose full sets are similar.
 
     The texts of the classes in pairs are read once more. The members of one a are dealt into groups of about SALT, each
     of which gets the text of a once, so that no text is repeated for each of its pairs.
     """
-    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    members = pairs.join(heads, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"))
+    heads = table(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"), F.count(F.lit(1)).alias("m")), "heads")
+    members = skew_join(pairs, heads.select("a", "salts"), "a", heads)
+    members = members.select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"))
     starts = heads.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    near = _with_texts(members.unionByName(starts), classes, docs)
+    near = texts.of(members.unionByName(starts))
     dealt = near.repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "cls")
 
     def check(batches):
-        at, head = None, None
+        at, head, last = None, None, None
         for batch in batches:
             x, y = [], []
             for a, salt, member, cls, text in zip(*(batch.column(n).to_pylist() for n in ("a", "salt", "member", "cls", "text")), strict=True):
+                if (a, salt, cls) == last:
+                    continue
                 found = _own(text, cls)
                 if found is None:
                     continue
+                last = (a, salt, cls)
                 if not member:
                     at, head = (a, salt), found
                 elif at == (a, salt) and similar(head, found):
@@ -246,18 +277,24 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     if links.count() <= one_task:
         return table(map_batches(links.coalesce(1), "cls binary, comp binary", _unite), "labels")
     both = table(links.union(links.select("b", "a")), "links")
+    degrees = table(both.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "degrees")
     labels = table(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
-        least = labels.join(near, "cls").select("cls", "comp", F.least("comp", "near").alias("low"))
-        hooked = least.select("cls", "low").union(least.select(F.col("comp").alias("cls"), "low")).groupBy("cls").agg(F.min("low").alias("low"))
+        now = labels.select("cls", "comp")
+        near = skew_join(both, now.select(F.col("cls").alias("b"), "comp"), "b", degrees).groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
+        least = now.join(near, "cls").select("cls", "comp", F.least("comp", "near").alias("low"))
+        hooked = table(least.select("cls", "low").union(least.select(F.col("comp").alias("cls"), "low")).groupBy("cls").agg(F.min("low").alias("low")), "hooked")
+        # as many classes may have one label as the component has
         jump = hooked.select(F.col("cls").alias("low"), F.col("low").alias("further"))
-        new = hooked.join(jump, "low").select("cls", F.least("low", "further").alias("comp"))
-        new = table(new.join(labels.withColumnRenamed("comp", "was"), "cls"), "labels")
+        new = skew_join(hooked, jump, "low", hooked.groupBy("low").agg(F.count(F.lit(1)).alias("m")))
+        new = new.select("cls", F.least("low", "further").alias("comp"))
+        new = table(new.join(now.withColumnRenamed("comp", "was"), "cls"), "labels")
         changed = new.where("comp <> was").limit(1).count()
-        labels = new.select("cls", "comp")
+        discard(labels, hooked)
+        labels = new
         if not changed:
-            return labels
+            discard(both, degrees, links)
+            return labels.select("cls", "comp")
 
 
 def _unite(batches):
@@ -282,97 +319,108 @@ def _unite(batches):
 
 def _star(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
     """Each class with the one among its buckets' least classes with which its signature agrees best."""
-    heads = buckets.groupBy("key").agg(F.min("cls").alias("a"))
-    pairs = buckets.join(heads, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    pairs = table(buckets.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     return _agreement(pairs, sigs).groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
 
 
 def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
     """Components (ca, cb) with classes in one bucket whose signatures agree enough, and the pair (a, b) that does best.
 
-    A bucket's classes are owned by blocks of about BLOCK; those outside the component of its least class go to every
-    block and meet what the block owns. Two classes are compared in the bucket of the first band that they share.
+    A bucket's classes are owned by blocks of about BLOCK. Those outside the component of its least class are guests of
+    every block, in groups of about GUESTS, each of which meets what the block owns in a task of its own; a task holds
+    what the block owns, and guests come one by one. Two classes are compared in the bucket of the first band that they share.
     """
     own = sigs.join(comps, "cls", "left").select("cls", "sig", "prints", "n", F.coalesce("comp", "cls").alias("comp"))
-    named = table(buckets.join(own, "cls", "left"), "named")
+    named = table(buckets.select("key", "cls").join(own, "cls"), "named")
+    per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("least"))
     mixed = (
-        named.groupBy("key")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct("cls", "comp")).alias("h"), F.count(F.lit(1)).alias("m"))
-        .where("x <> y")
-        .select("key", F.col("h.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        per.groupBy("key")
+        .agg(F.sum("c").alias("m"), F.min_by(F.struct("comp", "c"), "least").alias("h"), F.count(F.lit(1)).alias("comps"))
+        .where("comps > 1")
+        .select(
+            "key",
+            "m",
+            F.col("h.comp").alias("main"),
+            F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("m") - F.col("h.c")) / GUESTS).cast("int").alias("groups"),
+        )
     )
-    rows = named.join(mixed, "key")
+    mixed = table(mixed, "mixed")
+    rows = skew_join(named, mixed.drop("m"), "key", mixed)
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    blocks = F.when(F.col("comp") == F.col("main"), F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    group = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")).cast("int")
+    as_ = lambda i, j, guest: F.struct(i.alias("i"), j.alias("j"), F.lit(guest).alias("guest"))
+    owned = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: as_(mine, j, 0))
+    guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: as_(i, group, 1))
+    places = F.when(F.col("comp") == F.col("main"), owned).otherwise(F.concat(owned, guest))
     dealt = (
-        rows.select("key", "cls", "comp", "sig", "prints", "n", mine.alias("mine"), (F.col("comp") != F.col("main")).alias("other"), F.explode(blocks).alias("i"))
-        .repartition("key", "i")
-        .sortWithinPartitions("key", "i", "cls")
+        rows.select("key", "cls", "comp", "sig", "prints", "n", F.explode(places).alias("p"))
+        .select("key", "cls", "comp", "sig", "prints", "n", "p.*")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "guest", "cls")
     )
 
-    def pairs(held: list[tuple], key: int, i: int) -> list[tuple]:
-        guests = [h for h in held if h[6]]
-        owned = [h for h in held if h[5] == i]
-        if not guests or not owned:
-            return []
-        here = _print(np.array([key]))[0]
-        sig = np.frombuffer(b"".join(h[2] for h in owned), np.uint8).reshape(len(owned), -1)
-        prints = np.frombuffer(b"".join(h[3] for h in owned), np.uint32).reshape(len(owned), -1)
-        n = np.array([h[4] for h in owned])
-        out: dict = {}
-        for cls, comp, own, bits, size, _, _ in guests:
-            its_prints = np.frombuffer(bits, np.uint32)
-            first = its_prints[(prints == its_prints).argmax(1)] == here
-            near = np.flatnonzero(first & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)))
-            share = (sig[near] == np.frombuffer(own, np.uint8)).mean(1)
-            for k in np.flatnonzero(share >= AGREE).tolist():
-                other, its = owned[near[k]][:2]
-                if its == comp:
-                    continue
-                a, b = sorted((cls, other))
-                ca, cb = sorted((comp, its))
-                row = (ca, cb, a, b, float(share[k]))
-                if (ca, cb) not in out or row[4] > out[ca, cb][4]:
-                    out[ca, cb] = row
-        return list(out.values())
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        kinds = [pa.binary()] * 4 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ca", "cb", "a", "b", "agree"])
 
     def compare(batches):
-        at, held = None, []
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.binary()] * 4 + [pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ca", "cb", "a", "b", "agree"])
-
+        at, block, held = None, [], None
+        out: dict[tuple, tuple] = {}
         for batch in batches:
-            found: list[tuple] = []
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "cls", "comp", "sig", "prints", "n", "mine", "other")]
-            for key, i, *row in zip(*cols, strict=True):
-                if (key, i) != at:
-                    if held:
-                        found += pairs(held, *at)
-                    at, held = (key, i), []
-                held.append(tuple(row))
-            if found:
-                yield made(found)
-        if held and (found := pairs(held, *at)):
-            yield made(found)
-
-    out = map_batches(dealt, "ca binary, cb binary, a binary, b binary, agree double", compare)
-    top = out.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
-    found = table(top.select("ca", "cb", "p.a", "p.b"), "pairs")
-    discard(named)
-    return found
-
-
-def _all_of(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "guest", "cls", "comp", "sig", "prints", "n")]
+            for key, i, j, guest, cls, comp, sig, bits, size in zip(*cols, strict=True):
+                if (key, i, j) != at:
+                    at, block, held = (key, i, j), [], None
+                if not guest:
+                    block.append((cls, comp, sig, bits, size))
+                    continue
+                if not block:
+                    continue
+                if held is None:
+                    here = _print(np.array([key]))[0]
+                    held = (
+                        np.frombuffer(b"".join(h[2] for h in block), np.uint8).reshape(len(block), -1),
+                        np.frombuffer(b"".join(h[3] for h in block), np.uint32).reshape(len(block), -1),
+                        np.array([h[4] for h in block]),
+                    )
+                sigs_, prints, n = held
+                its_prints = np.frombuffer(bits, np.uint32)
+                fits = np.flatnonzero(100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size))
+                near = fits[its_prints[(prints[fits] == its_prints).argmax(1)] == here]
+                share = (sigs_[near] == np.frombuffer(sig, np.uint8)).mean(1)
+                for k in np.flatnonzero(share >= AGREE).tolist():
+                    other, its = block[near[k]][:2]
+                    if its == comp:
+                        continue
+                    a, b = sorted((cls, other))
+                    ca, cb = sorted((comp, its))
+                    row = (ca, cb, a, b, float(share[k]))
+                    if (ca, cb) not in out or row[4] > out[ca, cb][4]:
+                        out[ca, cb] = row
+                if len(out) >= BLOCK:  # the best of each two components is chosen again after the shuffle
+                    yield made(list(out.values()))
+                    out = {}
+        if out:
+            yield made(list(out.values()))
+
+    found = map_batches(dealt, "ca binary, cb binary, a binary, b binary, agree double", compare)
+    top = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
+    best = table(top.select("ca", "cb", "p.a", "p.b"), "pairs")
+    discard(named, mixed)
+    return best
+
+
+def _all_of(pairs: DataFrame, comps: DataFrame, texts: _Texts) -> DataFrame:
     """Links (a, b) between all classes of two components (ca, cb), for pairs of components of three classes or more.
 
-    The larger component is dealt into blocks of about SETS classes, and the classes of the other go to each of them;
-    a task holds the sets of one block. Pairs of single classes have been confirmed as they were.
+    The larger component is dealt into blocks of about SETS classes, and the classes of those that it may be linked with
+    into groups of as many; each block meets each group in a task of its own, which holds the sets of the block. Pairs of
+    single classes have been confirmed as they were.
     """
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    size = lambda side: sizes.select(F.col("comp").alias(side), F.col("size").alias(side + "n"))
+    sizes = table(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    size = lambda side: sizes.select(F.col("comp").alias(side), F.col("m").alias(side + "n"))
     both = pairs.select("ca", "cb").join(size("ca"), "ca", "left").join(size("cb"), "cb", "left")
     both = both.withColumns({"can": F.coalesce("can", F.lit(1)), "cbn": F.coalesce("cbn", F.lit(1))}).where("can * cbn > 1")
     first = F.struct("can", "ca") > F.struct("cbn", "cb")
@@ -380,29 +428,39 @@ def _all_of(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFr
         both.select(
             F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("owner"),
             F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("guest"),
-            F.ceil(F.greatest("can", "cbn") / SETS).cast("int").alias("blocks"),
+            F.greatest("can", "cbn").alias("n"),
+            F.least("can", "cbn").alias("guests"),
         ),
         "pairs",
     )
-    owners = both.select("owner", "blocks").distinct()
-    names = comps.select(F.col("comp").alias("owner"), "cls")
-    mine = owners.join(names, "owner").select("cls", "owner", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("i"), F.lit(0).alias("guest"))
-    others = both.join(comps.select(F.col("comp").alias("guest"), F.col("cls").alias("own")), "guest", "left")
-    others = others.select(
-        F.coalesce("own", "guest").alias("cls"), "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("guest")
+    owners = table(
+        both.groupBy("owner").agg(
+            F.ceil(F.max("n") / SETS).cast("int").alias("blocks"), F.ceil(F.sum("guests") / SETS).cast("int").alias("groups"), F.count(F.lit(1)).alias("m")
+        ),
+        "owners",
     )
-    dealt = _with_texts(mine.unionByName(others), classes, docs).repartition("owner", "i").sortWithinPartitions("owner", "i", "guest", "cls")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = comps.select(F.col("comp").alias("owner"), "cls")
+    mine = skew_join(names, owners.drop("m"), "owner", sizes.select(F.col("comp").alias("owner"), "m"))
+    mine = mine.select("cls", "owner", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("i"), upto("groups").alias("j"), F.lit(0).alias("guest"))
+    dealt = skew_join(both, owners.drop("m"), "owner", owners)
+    others = dealt.select("owner", "blocks", "groups", F.col("guest").alias("comp")).join(comps, "comp", "left").withColumn("cls", F.coalesce("cls", "comp"))
+    others = others.select("cls", "owner", upto("blocks").alias("i"), F.pmod(F.xxhash64("cls", F.lit(1)), "groups").cast("int").alias("j"), F.lit(1).alias("guest"))
+    near = texts.of(mine.unionByName(others)).repartition("owner", "i", "j").sortWithinPartitions("owner", "i", "j", "guest", "cls")
 
     def check(batches):
-        at, sets, names, marks = None, [], [], None
+        at, sets, names, marks, last = None, [], [], None, None
         for batch in batches:
             x, y = [], []
-            for owner, i, guest, cls, text in zip(*(batch.column(n).to_pylist() for n in ("owner", "i", "guest", "cls", "text")), strict=True):
-                if (owner, i) != at:
-                    at, sets, names, marks = (owner, i), [], [], None
+            for owner, i, j, guest, cls, text in zip(*(batch.column(n).to_pylist() for n in ("owner", "i", "j", "guest", "cls", "text")), strict=True):
+                if (owner, i, j) != at:
+                    at, sets, names, marks, last = (owner, i, j), [], [], None, None
+                if cls == last:
+                    continue
                 found = _own(text, cls)
                 if found is None:
                     continue
+                last = cls
                 mark = (signature(found) & np.uint32(255)).astype(np.uint8)
                 if not guest:
                     sets.append((found, mark))
@@ -418,7 +476,7 @@ def _all_of(pairs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFr
             if x:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
 
-    return table(map_batches(dealt, "a binary, b binary", check), "links")
+    return table(map_batches(near, "a binary, b binary", check), "links")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,35 +489,50 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Links are sought in three steps: each class with the best of its buckets' first classes; of each two components
     that still share a bucket the best pair; and then all classes of components that still share one.
     """
-    return _verdicts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _verdicts(some)[0].drop("h", "cls", "comp")
+
 
+def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_dedup for docs (doc_id, text), with h, cls and comp, and the (doc_id, h) of repeated rows.
 
-def _verdicts(some: DataFrame) -> DataFrame:
-    """The rows of near_dedup, each with the columns of its row besides doc_id and text."""
-    prepare(some.sparkSession)
-    more = [c for c in some.columns if c not in ("doc_id", "text")]
-    sketches = table(sketch(some), "sketch")
+    h is a hash of the text, cls and comp name class and component and are null where a text has no words.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    sketches = table(sketch(docs), "sketch")
     classes = table(
         sketches.where("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("prints").alias("prints"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")),
+        .agg(
+            F.min("doc_id").alias("id"),
+            F.min(F.struct("doc_id", "h")).alias("rep"),
+            *[F.first(c).alias(c) for c in ("bands", "prints", "sig")],
+            F.first("n_shingles").alias("n"),
+        ),
         "classes",
     )
-    rows = table(sketches.select("doc_id", "n_shingles", "cls", *more), "rows")
+    rows = table(sketches.select("doc_id", "n_shingles", "cls", "h"), "rows")
     discard(sketches)
-    buckets = classes.select("cls", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    buckets = table(buckets.join(shared, "key"), "buckets")
+    repeats = table(rows.where("cls is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "repeats")
+    texts = _Texts(docs, classes, bool(repeats.limit(1).count()))
+    spread = classes.select("cls", F.explode("bands").alias("key"))
+    shared = table(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).where("m > 1"), "shared")
+    buckets = table(skew_join(spread, shared.drop("m"), "key", shared), "buckets")
+    discard(shared)
     sigs = classes.select("cls", "sig", "prints", "n")
-    comps = components(_confirm(table(_star(buckets, sigs), "pairs"), classes, some))
-    comps = _joined(comps, _confirm(_across(buckets, comps, sigs), classes, some))
-    comps = _joined(comps, _all_of(_across(buckets, comps, sigs), comps, classes, some))
+    comps = components(_confirm(table(_star(buckets, sigs), "pairs"), texts))
+    comps = _joined(comps, _confirm(_across(buckets, comps, sigs), texts))
+    comps = _joined(comps, _all_of(_across(buckets, comps, sigs), comps, texts))
+    discard(buckets)
     named = classes.select("cls", "id").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    per = named.join(least, "comp").select("cls", "component_id")
-    out = rows.join(per, "cls", "left")
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named, least = table(named, "named"), table(least, "least")
+    per = table(skew_join(named, least.drop("m"), "comp", least).select("cls", "comp", "component_id"), "components")
+    counts = rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+    out = skew_join(rows.where("cls is not null"), per, "cls", counts).unionByName(rows.where("cls is null"), allowMissingColumns=True)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "h", "cls", "comp"), repeats
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -477,11 +550,23 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with the columns of docs.
+    """The rows of docs (doc_id, text and any others) that stay, one of each group, with the columns of docs.
 
-    Rows that share an id but not a text are judged apart.
+    Of a group that has the least id stays, ids before nulls; of rows that share an id the text with the least hash, and of
+    rows that share id and text one. Null texts and texts without words are in no group and stay. Columns may have any names.
     """
-    digest = F.xxhash64(docs["text"])
-    rows = _verdicts(docs.select("doc_id", "text", digest.alias("digest"))).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = rows.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
-    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (digest == gone["__digest"]), "left_anti")
+    p = free_prefix(docs.columns, "__n_")
+    rows, repeats = _verdicts(docs.select("doc_id", "text"))
+    rows = table(rows.where("comp is not null").select("doc_id", "h", "comp"), "verdicts")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = table(rows.groupBy("comp").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("m")), "best")
+    judged = skew_join(rows, best.drop("m"), "comp", best)
+    gone = judged.where(rank != F.col("best")).select(F.col("doc_id").alias(p + "id"), F.col("h").alias(p + "h")).distinct()
+    same = lambda some: docs["doc_id"].eqNullSafe(some[p + "id"]) & (F.xxhash64(docs["text"]) == some[p + "h"])
+    if not repeats.limit(1).count():
+        return docs.join(gone, same(gone), "left_anti")
+    often = repeats.select(F.col("doc_id").alias(p + "id"), F.col("h").alias(p + "h"))
+    either = gone.unionByName(often)
+    lone = often.join(gone, often[p + "id"].eqNullSafe(gone[p + "id"]) & (often[p + "h"] == gone[p + "h"]), "left_anti")
+    single, several = docs.join(either, same(either), "left_anti"), docs.join(lone, same(lone), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))

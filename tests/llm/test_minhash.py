@@ -81,6 +81,7 @@ def test_large_group_and_bounds(spark, monkeypatch):
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
     monkeypatch.setattr(M, "BLOCK", 16)
     monkeypatch.setattr(M, "SETS", 8)
+    monkeypatch.setattr(M, "GUESTS", 8)
     monkeypatch.setattr(M, "SALT", 10)
     monkeypatch.setattr(M, "BROADCAST_ROLES", 0)
     out = M.near_dedup(frame(spark, rows)).collect()
@@ -136,3 +137,83 @@ def test_stage_judges_rows_with_a_shared_id_apart(spark):
     one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
     docs = frame(spark, [(3, one), (7, one), (7, two), (1, three), (3, three)])
     assert sorted((r.doc_id, r.text) for r in M.keep_one(docs).collect()) == sorted([(3, one), (7, two), (1, three)])
+
+
+def test_stage_without_ids_and_with_repeated_rows(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    near = one.replace("a39", "other")
+    rows = [(None, one), (None, one), (None, near), (5, two), (5, two), (5, two), (None, two), (8, None), (8, None), (None, ""), (9, three)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, __n_id string, comp int")
+    out = M.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    kept_null = [t for d, t in got if d is None and t]
+    assert len(kept_null) == 1 and kept_null[0] in (one, near)
+    assert sorted([x for x in got if x != (None, kept_null[0])], key=str) == sorted([(5, two), (8, None), (8, None), (None, ""), (9, three)], key=str)
+    assert M.keep_one(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids_cost_no_pairs(spark):
+    """Texts are found again by id and hash: as many rows with texts as there are roles, whatever the ids."""
+    rows = []
+    for k in range(120):
+        words = [f"p{k}w{i}" for i in range(30)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:-1], "z"]))]
+    docs = frame(spark, rows).select("doc_id", "text")
+    assert M.near_dedup(docs).where("component_id is null").count() == len(rows)
+    hashed = docs.withColumn("h", M.F.xxhash64("text"))
+    sketches = M.sketch(hashed)
+    classes = sketches.groupBy("cls").agg(M.F.min(M.F.struct("doc_id", "h")).alias("rep"))
+    got = M._Texts(hashed, classes, False).of(classes.select("cls", M.F.lit(1).alias("role")))
+    assert got.count() == len(rows)
+
+
+def test_many_unlike_classes_in_one_bucket(spark, monkeypatch):
+    """All share a bucket, none is similar but two pairs: blocks and groups are bounded, and the pairs are found."""
+    monkeypatch.setattr(M, "BLOCK", 64)
+    monkeypatch.setattr(M, "GUESTS", 32)
+    rng = np.random.default_rng(11)
+    n = 600
+    sigs, made = rng.integers(0, 2**32, (n, M.BANDS * M.ROWS), dtype=np.uint64).astype(np.uint32), []
+    sigs[401], sigs[17] = sigs[400], sigs[599]
+    sigs[:, M._ORDER[: M.ROWS]] = 7  # the first band of all is one
+    for k in range(n):
+        keys = M.bands(sigs[k])
+        made.append((f"c{k:04}".encode(), keys.tolist(), M._print(keys).tobytes(), (sigs[k] & np.uint32(255)).astype(np.uint8).tobytes(), 50))
+    classes = spark.createDataFrame(made, "cls binary, bands array<long>, prints binary, sig binary, n long")
+    buckets = classes.select("cls", M.F.explode("bands").alias("key"))
+    comps = spark.createDataFrame([], "cls binary, comp binary")
+    got = M._across(buckets, comps, classes.select("cls", "sig", "prints", "n")).collect()
+    assert sorted((bytes(r.a), bytes(r.b)) for r in got) == [(b"c0017", b"c0599"), (b"c0400", b"c0401")]
+
+
+def test_a_star_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "BROADCAST_ROLES", 0)
+    monkeypatch.setattr(M, "SALT", 16)
+    base = [f"s{k}" for k in range(120)]
+    rows = [(k, " ".join([*base, f"own{k}", f"end{k}"])) for k in range(300)] + [(1000, " ".join(base))] * 40 + [(None, " ".join(base))] * 40
+    out = M.near_dedup(frame(spark, rows)).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out} == {0}
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_components_of_a_star_and_a_chain(spark, bound):
+    name = lambda k: f"{k:06}".encode()
+    links = [(name(0), name(k)) for k in range(1, 3000)] + [(name(5000 + k), name(5001 + k)) for k in range(60)]
+    got = {bytes(r.cls): bytes(r.comp) for r in M.components(spark.createDataFrame(links, "a binary, b binary"), bound).collect()}
+    assert {got[name(k)] for k in range(3000)} == {name(0)} and {got[name(5000 + k)] for k in range(61)} == {name(5000)}
+
+
+def test_recall_at_the_threshold():
+    """Pairs with a similarity of 0.75 to 0.8 share a band."""
+    rng = np.random.default_rng(23)
+    missed = 0
+    pairs = 3000
+    for _ in range(pairs):
+        size = int(rng.integers(30, 200))
+        union = rng.integers(0, 2**64, size, dtype=np.uint64)
+        both = int(np.ceil(rng.uniform(0.75, 0.8) * size))
+        side = rng.random(size - both) < 0.5
+        a, b = (np.concatenate([union[:both], union[both:][x]]) for x in (side, ~side))
+        missed += not (M.bands(M.signature(a)) == M.bands(M.signature(b))).any()
+    assert missed == 0
