@@ -23,9 +23,14 @@ _ALNUM = bytes(
 )
 
 
-def alnum_words(text: str | None) -> list[bytes]:
+def alnum_text(text: str | bytes | None) -> bytes:
+    """A text with its words as below, and spaces in place of all other characters."""
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).translate(_ALNUM)
+
+
+def alnum_words(text: str | bytes | None) -> list[bytes]:
     """Words of ASCII letters (lower-cased), digits and all other code points above 0x7F."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_ALNUM).split()
+    return alnum_text(text).split()
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -1,4 +1,9 @@
-"""Benchmark decontamination with a generalised suffix automaton of the test items."""
+"""Benchmark decontamination with a generalised suffix automaton of the test items.
+
+Items that fit one block are an automaton that is broadcast, and texts pass it once without a shuffle. More items are dealt
+into blocks: hashes of their windows are broadcast first, and only texts with a window of some block, each such text once,
+go to the tasks that hold that block's automaton. Texts are never written for each block.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import alnum_words, map_arrow, prepare, table
+from quillon.llm.common import alnum_words, alnum_text, free_prefix, map_arrow, map_batches, prepare, table
+from quillon.llm.minhash import _mix, word_hashes
 
 #: Consecutive item words that make a match.
 WINDOW = 10
-#: At most so many item words go into one automaton; more items are matched block by block.
+#: About so many item words go into one automaton, of 1.25 states per word; a process that holds it takes 200 MB.
 BLOCK_WORDS = 200_000
+#: Blocks whose windows (12 bytes each) are looked for in one pass over the texts.
+PASS_BLOCKS = 20
+#: Texts that one task matches with one automaton.
+TASK_TEXTS = 20_000
 #: A document with a larger share of hit words is removed whole.
 COVERAGE = 0.5
 
@@ -158,25 +168,39 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """The items in blocks of about block_words words at most, one after the other on the driver."""
-    some = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.coalesce(f"`{text_col}`", F.lit("")).alias("t"))
-    chars = some.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-chars // (4 * block_words)))
-    for b in range(n):
-        part = some.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else some
-        rows = sorted((r["i"] or "", r["t"]) for r in part.collect())
-        yield [(i, alnum_words(t)) for i, t in rows]
-
+def _pieces(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """i and words of each item; one longer than a block comes in pieces, which overlap by all but one word of a window."""
+    some = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(f"`{text_col}`", F.lit("")).alias("t"))
 
-_FOUND = T.StructType(
-    [
-        T.StructField("__d_words", T.LongType(), False),
-        T.StructField("__d_from", T.ArrayType(T.LongType())),
-        T.StructField("__d_to", T.ArrayType(T.LongType())),
-        T.StructField("__d_items", T.ArrayType(T.StringType())),
+    def cut(batch: pa.RecordBatch) -> dict:
+        names, parts = [], []
+        for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            words = alnum_words(text)
+            step = max(1, block_words - window + 1)
+            for a in range(0, max(1, len(words) - window + 1) if len(words) > block_words else 1, step):
+                piece = words[a : a + block_words] if len(words) > block_words else words
+                if piece:
+                    names.append(i)
+                    parts.append(b" ".join(piece))
+        return {"i": pa.array(names, pa.string()), "w": pa.array(parts, pa.binary()), "n": pa.array([p.count(b" ") + 1 for p in parts], pa.int64())}
+
+    return map_arrow(some, "i string, w binary, n long", cut)
+
+
+def _fields(p: str) -> list[T.StructField]:
+    long, text = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+    return [T.StructField(p + "words", T.LongType(), False), T.StructField(p + "from", long), T.StructField(p + "to", long), T.StructField(p + "items", text)]
+
+
+def _found(rows: list[tuple[int, list, list]]) -> list[pa.Array]:
+    """Columns of (words, spans, items) rows."""
+    long = pa.list_(pa.int64())
+    return [
+        pa.array([n for n, _, _ in rows], pa.int64()),
+        pa.array([[a for a, _ in s] for _, s, _ in rows], long),
+        pa.array([[b for _, b in s] for _, s, _ in rows], long),
+        pa.array([sorted(set(i)) for _, _, i in rows], pa.list_(pa.string())),
     ]
-)
 
 
 def find(
@@ -188,43 +212,138 @@ def find(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    prefix: str = "__d_",
 ) -> DataFrame:
-    """docs and __d_words, __d_from and __d_to (merged spans of hit words) and __d_items (sorted distinct ids). No shuffle."""
+    """docs and prefix + words, from and to (merged spans of hit words) and items (sorted distinct ids).
+
+    Null and empty texts have no words; null items and items without words match nothing, null item ids are empty strings.
+    Repeated items count once, repeated rows of docs get a row each. Columns may have any names that do not begin with prefix.
+    """
     spark = prepare(docs.sparkSession)
-    out, first = docs, True
-    for block in _blocks(items, item_id_col, item_text_col, block_words):
-        # its size is bounded by block_words
-        held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        if not first:
-            out = table(out, "decontaminate")  # one automaton at a time in a worker
-        schema = T.StructType([*[f for f in out.schema.fields if not f.name.startswith("__d_")], *_FOUND.fields])
-
-        def matched(batch: pa.RecordBatch, held=held, again=not first) -> dict:
-            auto = held.value
-            n_words, starts, ends, named = [], [], [], []
-            before = [batch.column(n).to_pylist() for n in ("__d_from", "__d_to", "__d_items")] if again else None
-            for r, text in enumerate(batch.column(text_col).to_pylist()):
-                words = alnum_words(text)
+    pieces = table(_pieces(items, item_id_col, item_text_col, window, block_words), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    names = [f.name for f in _fields(prefix)]
+    if total > block_words:
+        return _find_in_blocks(docs, pieces, -(-total // block_words), text_col, window, prefix)
+    rows = sorted((r["i"], bytes(r["w"])) for r in pieces.collect())
+    # its size is bounded by block_words
+    held = spark.sparkContext.broadcast(SuffixAutomaton([(i, w.split()) for i, w in rows], window))
+
+    def matched(batch: pa.RecordBatch) -> dict:
+        auto, out = held.value, []
+        for text in batch.column(text_col).to_pylist():
+            words = alnum_words(text)
+            spans, got = auto.match(words)
+            out.append((len(words), spans, [auto.names[k] for k in got]))
+        return {n: batch.column(n) for n in batch.schema.names} | dict(zip(names, _found(out), strict=True))
+
+    return map_arrow(docs, T.StructType([*docs.schema.fields, *_fields(prefix)]), matched)
+
+
+def _codes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash per run of so many words."""
+    n = len(words) - size + 1
+    code = np.full(max(0, n), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        code = code * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
+    return _mix(code)
+
+
+def _find_in_blocks(docs: DataFrame, pieces: DataFrame, n: int, text_col: str, window: int, prefix: str) -> DataFrame:
+    """find for items of n blocks. What it finds for a text hangs on the text alone, so texts are known by a digest."""
+    spark = docs.sparkSession
+    pieces = table(pieces.withColumn("block", F.pmod(F.xxhash64("i", "w"), F.lit(n)).cast("int")), "blocks")
+
+    def windows(batch: pa.RecordBatch) -> dict:
+        blocks, sizes, codes = [], [], []
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("w").to_pylist(), strict=True):
+            hashes = word_hashes(raw)
+            size = min(window, len(hashes))
+            some = np.unique(_codes(hashes, size))
+            blocks.append(np.full(len(some), block, np.int32))
+            sizes.append(np.full(len(some), size, np.int32))
+            codes.append(some.view(np.int64))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return {"block": pa.array(join(blocks, np.int32)), "size": pa.array(join(sizes, np.int32)), "code": pa.array(join(codes, np.int64))}
+
+    codes = table(map_arrow(pieces.select("block", "w"), "block int, size int, code long", windows).distinct(), "windows")
+    sizes = sorted(r["size"] for r in codes.select("size").distinct().collect())  # the window and shorter
+    texts = docs.select(F.md5(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    wanted = None
+    for first in range(0, n, PASS_BLOCKS):
+        rows = codes.where((F.col("block") >= first) & (F.col("block") < first + PASS_BLOCKS)).select("code", "block").toPandas().sort_values("code")
+        held = spark.sparkContext.broadcast((rows["code"].to_numpy(), rows["block"].to_numpy()))  # PASS_BLOCKS * BLOCK_WORDS windows at most
+        some = _wanted(texts, held, sizes)
+        wanted = some if wanted is None else wanted.unionByName(some)
+    wanted = table(wanted, "wanted")
+    tasks = {r["block"]: -(-r["n"] // TASK_TEXTS) for r in wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per block
+    share = spark.createDataFrame(sorted(tasks.items()), "block int, tasks int")
+    home = F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("task")
+    guests = wanted.join(F.broadcast(share), "block").select("block", home, F.lit(1).alias("role"), "key", F.encode("text", "utf-8").alias("body"))
+    owners = pieces.join(F.broadcast(share), "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), F.col("i").alias("key"), F.col("w").alias("body")
+    )
+    dealt = owners.unionByName(guests).repartition("block", "task").sortWithinPartitions("block", "task", "role", "key", "body")
+
+    def match(batches):
+        at, items, auto = None, [], None
+        for batch in batches:
+            keys, out = [], []
+            for block, task, role, key, body in zip(*(batch.column(c).to_pylist() for c in ("block", "task", "role", "key", "body")), strict=True):
+                if (block, task) != at:
+                    at, items, auto = (block, task), [], None
+                if not role:
+                    items.append((key, body.split()))
+                    continue
+                if auto is None:
+                    auto, items = SuffixAutomaton(items, window), []
+                words = alnum_words(body)
                 spans, got = auto.match(words)
-                ids = {auto.names[k] for k in got}
-                if before:
-                    ids |= set(before[2][r])
-                    spans = _union([*spans, *zip(before[0][r], before[1][r], strict=True)])
-                n_words.append(len(words))
-                starts.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-                named.append(sorted(ids))
-            cols = {n: batch.column(n) for n in batch.schema.names if not n.startswith("__d_")}
-            long = pa.list_(pa.int64())
-            return cols | {
-                "__d_words": pa.array(n_words, pa.int64()),
-                "__d_from": pa.array(starts, long),
-                "__d_to": pa.array(ends, long),
-                "__d_items": pa.array(named, pa.list_(pa.string())),
-            }
-
-        out, first = map_arrow(out, schema, matched), False
-    return out
+                if spans:
+                    keys.append(key)
+                    out.append((len(words), spans, [auto.names[k] for k in got]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *_found(out)], names=["key", "words", "from", "to", "items"])
+
+    schema = T.StructType([T.StructField("key", T.StringType()), *_fields("")])
+    per = map_batches(dealt, schema, match).groupBy("key").agg(F.collect_set(F.struct("from", "to", "items")).alias("found"))
+    hits = table(per.select(F.col("key").alias(prefix + "key"), F.col("found").alias(prefix + "found")), "hits")
+    # null texts match nothing, each under a key of its own
+    key = F.coalesce(F.md5(F.col(f"`{text_col}`")), F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    both = docs.withColumn(prefix + "key", key).join(hits, prefix + "key", "left").drop(prefix + "key")
+    names, own = [f.name for f in _fields(prefix)], docs.columns
+
+    def united(batch: pa.RecordBatch) -> dict:
+        out = []
+        for text, found in zip(batch.column(text_col).to_pylist(), batch.column(prefix + "found").to_pylist(), strict=True):
+            spans = _union([p for x in found or () for p in zip(x["from"], x["to"], strict=True)])
+            out.append((len(alnum_words(text)), spans, [i for x in found or () for i in x["items"]]))
+        return {n: batch.column(n) for n in own} | dict(zip(names, _found(out), strict=True))
+
+    return map_arrow(both, T.StructType([*docs.schema.fields, *_fields(prefix)]), united)
+
+
+def _wanted(texts: DataFrame, held, sizes: list[int]) -> DataFrame:
+    """block, key and text of the texts with a window of a block, each at most once per task."""
+
+    def wanted(batches):
+        codes, blocks = held.value
+        seen: set[tuple[int, str]] = set()
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes = word_hashes(alnum_text(text))
+                mine = np.unique(np.concatenate([_codes(hashes, size) for size in sizes])).view(np.int64)
+                low, high = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
+                for b in {int(x) for a, z in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True) for x in blocks[a:z]}:
+                    if (b, key) not in seen:
+                        seen.add((b, key))
+                        out.append((b, key, text))
+            if out:
+                b, k, t = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.string()), pa.array(t, pa.string())], names=["block", "key", "text"])
+
+    return map_batches(texts, "block int, key string, text string", wanted)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,8 +356,8 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hit() -> F.Column:
-    pairs = F.arrays_zip(F.col("__d_from").alias("a"), F.col("__d_to").alias("b"))
+def _hit(p: str) -> F.Column:
+    pairs = F.arrays_zip(F.col(p + "from").alias("a"), F.col(p + "to").alias("b"))
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
 
 
@@ -253,7 +372,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return got.select(
         "doc_id",
         F.col("__d_words").alias("n_words"),
-        _hit().alias("n_hit"),
+        _hit("__d_").alias("n_hit"),
         F.size("__d_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__d_items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("__d_from") > 0).alias("contaminated"),
@@ -275,13 +394,15 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of docs with hit spans cut from their texts; rows with a larger share of hit words than coverage go.
 
-    Clean rows stay as they are, null texts included.
+    Clean rows stay as they are, null and empty texts and repeated rows included; an empty table of items changes nothing.
+    The columns are those of docs and may have any names; null items and items without words match nothing.
     """
+    p = free_prefix(docs.columns, "__d_")
     cols = docs.columns
-    got = find(docs, items, text_col=text_col, **options).where(_hit() <= coverage * F.col("__d_words"))
+    got = find(docs, items, text_col=text_col, prefix=p, **options).where(_hit(p) <= coverage * F.col(p + "words"))
 
     def cut(batch: pa.RecordBatch) -> dict:
-        texts, a, b = (batch.column(n).to_pylist() for n in (text_col, "__d_from", "__d_to"))
+        texts, a, b = (batch.column(n).to_pylist() for n in (text_col, p + "from", p + "to"))
         new = [without_words(t, x, y) if x else t for t, x, y in zip(texts, a, b, strict=True)]
         return {n: batch.column(n) for n in cols} | {text_col: pa.array(new, pa.string())}
 

@@ -82,3 +82,38 @@ def test_removal(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.text for r in D.decontaminate(d, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()}
     assert out == {1: "Before this. , after that and some more words so that it stays here.", 3: "clean text", 4: None}
+
+
+def test_many_blocks_move_hit_texts_alone(spark, monkeypatch):
+    """Items of over 20 blocks, one of them longer than a block: the same hits, and only texts with hits are written."""
+    monkeypatch.setattr(D, "TASK_TEXTS", 3)
+    monkeypatch.setattr(D, "PASS_BLOCKS", 4)
+    rng = random.Random(8)
+    w = lambda n: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(n))
+    items = [(k, w(rng.choice([4, 11, 30]))) for k in range(60)] + [(100, w(400))]
+    docs = [(d, w(60)) for d in range(200)]
+    docs += [(300 + k, f"{w(5)} {t} {w(5)}") for k, (_, t) in enumerate(items)] * 2 + [(400 + a, " ".join(items[-1][1].split()[a : a + 25])) for a in range(0, 370, 7)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda size: sorted(map(tuple, D.contamination(d, i, block_words=size).collect()))
+    whole = rows(D.BLOCK_WORDS)
+    made = []
+    table = D.table
+    monkeypatch.setattr(D, "table", lambda df, name="t": made.append((name, table(df, name))) or made[-1][1])
+    assert rows(40) == whole
+    texts = {r.text for r in dict(made)["wanted"].collect()}
+    hit = {r[0] for r in whole if r[5]}
+    assert texts == {t for k, t in docs if k in hit}
+    assert len(hit) < len({k for k, _ in docs}) / 2 + 60
+
+
+def test_stage_with_clashing_names(spark):
+    long = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"x, {long} y z a b c d e f g h i j k l m n", 5, "a"), (1, f"x, {long} y z a b c d e f g h i j k l m n", 5, "a"), (None, None, None, None), (2, "", 0, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __d_from int, `item.id` string")
+    for size in (D.BLOCK_WORDS, 11):
+        items = spark.createDataFrame([(1, long), (None, None), (2, long[4:])], "item_id long, text string")
+        out = D.decontaminate(d, items, block_words=size)
+        assert out.columns == d.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x,  y z a b c d e f g h i j k l m n", 5, "a")] * 2 + [(None, None, None, None), (2, "", 0, "b")], key=str)
+    assert D.decontaminate(d.limit(0), items).count() == 0
+    assert D.decontaminate(d, items.limit(0)).count() == 4
