@@ -98,3 +98,42 @@ def test_repeated_rows(spark):
 def test_plain_operators_only(spark):
     plan = M.mix(spark.createDataFrame(corpus(1), SCHEMA))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Cartesian"))
+
+
+@pytest.mark.parametrize("text", ["w w w w w w w w w w", None])
+def test_rows_without_ids_are_not_taken_all_or_none(spark, monkeypatch, text):
+    """Null ids, with texts of their own (None) or all alike, and one id for all: each source comes near its target."""
+    for d in (None, 7):
+        rows = [(d, text or f"{k} w w w w w w w w w", s, 0, 0) for s, n in (("a", 100), ("b", 60), ("c", 200)) for k in range(n)]
+        for ties in (M.TIES, 10):
+            monkeypatch.setattr(M, "TIES", ties)
+            out = M.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+            taken, target = defaultdict(int), {}
+            for r in out:
+                taken[r.source_size] += r.taken
+                target[r.source_size] = r.target
+            assert len(out) == 360
+            for k, t in target.items():
+                assert abs(taken[k] - t) <= (10 if ties > 10 or not text else 0.2 * t)
+
+
+def test_a_crowded_cell_is_divided(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(5), SCHEMA)
+    once = sorted(map(tuple, M.mix(df).collect()))
+    monkeypatch.setattr(M, "EDGE_ROWS", 1)
+    assert once == sorted(map(tuple, M.mix(df, cells=4).collect()))
+
+
+def test_many_sources_are_ordered_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(5, sources=40), SCHEMA)
+    once = sorted(map(tuple, M.mix(df).collect()))
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 3)
+    assert once == sorted(map(tuple, M.mix(df).collect()))
+    assert sorted(r.doc_id for r in M.repeated(df).collect()) == sorted(r[0] for r in once for _ in range(r[4]))
+
+
+def test_stage_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 1, 2), (None, None, None, None, None)], "doc_id long, text string, source string, __s int, `i.t` int")
+    out = M.repeated(df)
+    assert out.columns == df.columns and out.count() >= 1
+    assert M.repeated(df.limit(0)).count() == 0
