@@ -1,10 +1,16 @@
-"""License scans by diagonal voting, in DataFrame operations only."""
+"""License scans by diagonal voting, in DataFrame operations only.
+
+Texts are split into words once. The same pass counts the fixed phrases and lets all word grams meet the grams of the
+templates; what it leaves, a row per text and one per equal gram, is a small table that all later steps read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import table
+
 # Phrases whose places are counted, and their labels.
 PHRASES = (
     ("cc by", "cc-by"),
@@ -30,6 +36,8 @@ TEMPLATES = (
 
 #: Words in a gram.
 K = 3
+#: Templates with so many grams or fewer are broadcast (about 100 bytes each); more are met in a join.
+BROADCAST_GRAMS = 500_000
 #: Share of a template's words that matched grams must cover.
 COVER = 0.75
 #: Diagonals this close belong to one place: so many words inserted or lost.
@@ -64,6 +72,9 @@ def phrase_places(joined: Column, phrase: str) -> tuple[Column, Column, Column]:
     return n, first, last
 
 
+BASE = ("n_words", "n_base", "first_word", "last_word", "__base")
+
+
 def base_scan(docs: DataFrame) -> DataFrame:
     """Adds n_words and the columns of the fixed phrases to a frame with a word array __w. No shuffle."""
     out = docs.withColumn("n_words", F.size("__w").cast("long"))
@@ -93,30 +104,44 @@ def base_scan(docs: DataFrame) -> DataFrame:
     ).drop("__f", "__joined")
 
 
-def template_grams(spark) -> DataFrame:
-    """A row per gram of each template: its hash, template, place and the template's length. As many as the templates have."""
-    rows = [(t, label, text.split()) for t, (label, text) in enumerate(TEMPLATES)]
-    made = spark.createDataFrame(rows, "__t int, __label string, __tw array<string>")
+def template_grams(spark: SparkSession, templates) -> DataFrame:
+    """A row per gram of each template (label, text): its hash, words, template, place and the template's length in words.
+
+    templates are a list or a table; whole license texts are templates as well as single sentences.
+    """
+    made = spark.createDataFrame(templates, "label string, text string") if isinstance(templates, list | tuple) else templates.select("label", "text")
+    made = made.select(F.col("label").alias("__label"), words(F.col("text")).alias("__tw")).where(F.size("__tw") >= K)
+    made = table(made.select(F.xxhash64("__label", "__tw").alias("__t"), "__label", "__tw").dropDuplicates(["__t"]), "templates")
     at = F.explode(F.sequence(F.lit(0), F.size("__tw") - K))
     return made.select("__t", "__label", F.size("__tw").alias("__tn"), "__tw", at.alias("__at")).select(
-        gram(F.col("__tw"), F.col("__at")).alias("__g"), "__t", "__label", "__tn", "__at"
+        gram(F.col("__tw"), F.col("__at")).alias("__g"), "__t", "__label", "__tn", "__at", F.slice("__tw", F.col("__at") + 1, K).alias("__gw")
     )
 
 
-def match_templates(docs: DataFrame) -> DataFrame:
-    """Spans of templates in a frame with keys __key and word arrays __w: __key, label, cover, first and last word.
-
-    All grams of all texts meet the template grams in a join; votes gather by diagonal, that is by place in the text
-    less place in the template; diagonals within GAP words form one span, whose covered template words are counted.
-    """
+def scanned(docs: DataFrame, templates) -> DataFrame:
+    """For a frame with keys __key and word arrays __w: a row per row with its base columns, at place -1, and one per gram
+    that is equal, word by word, to a template's."""
+    grams = template_grams(docs.sparkSession, templates)
+    small = F.broadcast if grams.count() <= BROADCAST_GRAMS else (lambda df: df)
     # places are generated and hashed within generated code; an outer explode keeps Spark from also evaluating the words
     # in a filter of its own
-    last = F.size("__w") - K
-    places = F.when(last >= 0, F.sequence(F.lit(0), last))
-    rolled = docs.select("__key", "__w", F.explode_outer(places).alias("__pos")).where("__pos is not null")
-    rolled = rolled.select("__key", "__pos", gram(F.col("__w"), F.col("__pos")).alias("__g"))
-    # the template table has a fixed number of rows, whatever the size of docs
-    votes = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "__g")
+    places = F.sequence(F.lit(-1), F.greatest(F.size("__w") - K, F.lit(-1)))
+    rolled = base_scan(docs).select(*BASE, "__key", "__w", F.explode_outer(places).alias("__pos"))
+    rolled = rolled.withColumn("__h", F.when(F.col("__pos") >= 0, gram(F.col("__w"), F.col("__pos"))))
+    same = F.col("__h") == F.col("__g")
+    for k in range(K):  # a hash alone proves nothing
+        same = same & (F.get("__w", F.col("__pos") + k) == F.get("__gw", F.lit(k)))
+    met = rolled.join(small(grams), same, "left").where("__pos = -1 or __t is not null")
+    first = F.col("__pos") == -1
+    return table(met.select("__key", "__pos", *[F.when(first, F.col(c)).alias(c) for c in BASE], "__t", "__label", "__tn", "__at"), "scan")
+
+
+def match_templates(votes: DataFrame) -> DataFrame:
+    """Spans of templates from equal grams: __key, label, cover, first and last word.
+
+    Votes gather by diagonal, that is by place in the text less place in the template; diagonals within GAP words form one
+    span, whose covered template words, all equal to the text's, are counted.
+    """
     diagonals = votes.groupBy("__key", "__t", "__label", "__tn", (F.col("__pos") - F.col("__at")).alias("__d")).agg(
         F.collect_set("__at").alias("__ats"), F.min("__pos").alias("__first"), F.max("__pos").alias("__last")
     )
@@ -145,23 +170,24 @@ def match_templates(docs: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: n_words, the places of the fixed phrases, and labels with a score.
 
-    score is the largest share of a template that a span covers, and 1 where a fixed phrase stands. Null and empty
-    texts have no words, no labels and score 0. Null ids and repeated rows stay, each with its own row. Only the id and
-    the text are read.
+    templates are (label, text) pairs or a table of them, sentences and whole licenses alike; null texts, and those of fewer
+    than K words, match nothing. score is the largest share of a template that a span covers, and 1 where a fixed phrase
+    stands. Null and empty texts have no words, no labels and score 0. Null ids and repeated rows stay, each with its own
+    row. Only the id and the text are read.
     """
     some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     keyed = some.withColumn("__key", F.struct("doc_id", F.xxhash64("__text").alias("h")))
-    ready = keyed.withColumn("__w", words(F.col("__text"))).drop("__text")
-    base = base_scan(ready)
-    spans = match_templates(ready)
+    marks = scanned(keyed.select("__key", words(F.col("__text")).alias("__w")), templates)
+    spans = match_templates(marks.where("__t is not null"))
     sure = (F.col("cover") >= COVER) & F.col("tight")
     found = spans.groupBy("__key").agg(
         F.collect_set(F.when(sure, F.col("label"))).alias("__more"), F.max("cover").alias("__cover")
     )
-    both = base.drop("__w").join(found, base["__key"].eqNullSafe(found["__key"]), "left").drop("__key")
+    base = marks.where("__pos = -1").select("__key", *BASE)
+    both = base.join(found, base["__key"].eqNullSafe(found["__key"]), "left").select(base["__key"]["doc_id"].alias("doc_id"), *BASE, "__more", "__cover")
     labels = F.array_sort(F.array_union("__base", F.coalesce("__more", F.array().cast("array<string>"))))
     return both.select(
         "doc_id",

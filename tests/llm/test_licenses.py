@@ -61,3 +61,24 @@ def test_many_places_and_spans(spark):
     plan = L.scan(docs)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Cartesian"))
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_whole_licenses_as_a_table(spark, monkeypatch):
+    rng = random.Random(3)
+    license_ = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60)}" for _ in range(300))
+    words_ = license_.split()
+    changed = [*words_[:100], "other", *words_[101:200], *words_[202:]]  # no more lost than GAP
+    rows = [(1, "Before. " + license_.upper() + " after"), (2, " ".join(changed)), (3, " ".join(words_[:150])), (4, " ".join(sorted(words_)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([("own", license_), ("none", None), ("short", "a b"), ("own", license_)], "label string, text string")
+    for bound in (L.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(L, "BROADCAST_GRAMS", bound)
+        out = {r.doc_id: r for r in L.scan(docs, table).collect()}
+        assert {k: r.labels for k, r in out.items()} == {1: "own", 2: "own", 3: "", 4: ""}
+        assert out[1].score == 1 and 0.9 < out[2].score < 1 and out[3].score == 0.5
+
+
+def test_a_hash_alone_proves_nothing(spark, monkeypatch):
+    monkeypatch.setattr(L, "gram", lambda w, i, k=L.K: L.F.lit(1).cast("long"))  # all grams collide
+    docs = spark.createDataFrame([(1, "released under the mit license"), (2, "quite other words than those of it")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in L.scan(docs).collect()} == {1: "mit", 2: ""}
