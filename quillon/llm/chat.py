@@ -5,7 +5,8 @@ turn         := "<s>[INST]" role "[/INST]" text "</s>"
 
 Roles and texts hold none of the four control strings. A control string within them is escaped by one more backslash
 after its first character, which one backslash less undoes; a turn is escaped only if its plain rendering does not
-parse back to its source.
+parse back to its source. One escape undoes every conflict, which a last parse proves; a turn that still differed would
+fail the query.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ OPEN, BETWEEN, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: A control string with any number of backslashes after its first character.
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
-_PASSES = 2
 
 
 def escape(c: Column) -> Column:
@@ -43,10 +43,15 @@ def parse_segment(segment: Column) -> Column:
     return F.when(fits, F.struct(unescape(halves[0]).alias("role"), unescape(halves[1]).alias("text")))
 
 
+def split_turns(formatted: Column) -> Column:
+    """The renderings of the turns without their closing marks, in order."""
+    segments = F.split(formatted, CLOSE, -1)
+    return F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a rendered conversation, in order; an element is null where it does not parse."""
-    segments = F.split(formatted, CLOSE, -1)
-    return F.transform(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), parse_segment)
+    return F.transform(split_turns(formatted), parse_segment)
 
 
 def _round_trip(turns: DataFrame) -> DataFrame:
@@ -57,17 +62,12 @@ def _round_trip(turns: DataFrame) -> DataFrame:
     )
     # a text without any first character of a control string is plain; only others need a parse
     risky = F.col("__role").rlike(_CONTROL) | F.col("__text").rlike(_CONTROL)
-    for _ in range(_PASSES):
-        back = parse(render(F.col("__er"), F.col("__et")))
-        good = ~risky | F.coalesce(same(back), F.lit(False))
-        out = out.withColumns({"__good": good})
-        out = out.withColumns(
-            {
-                "__er": F.when(F.col("__good"), F.col("__er")).otherwise(escape(F.col("__er"))),
-                "__et": F.when(F.col("__good"), F.col("__et")).otherwise(escape(F.col("__et"))),
-            }
-        )
-    return out
+    good = F.coalesce(same(parse(render(F.col("__er"), F.col("__et")))), F.lit(False))
+    out = out.withColumn("__good", ~risky | good)
+    out = out.withColumns({c: F.when(F.col("__good"), F.col(c)).otherwise(escape(F.col(c))) for c in ("__er", "__et")})
+    again = F.coalesce(same(parse(render(F.col("__er"), F.col("__et")))), F.lit(False))
+    lost = F.raise_error(F.lit("a turn does not come back from its rendering")).cast("string")
+    return out.withColumn("__et", F.when(F.col("__good") | again, F.col("__et")).otherwise(lost))
 
 
 def format_conversations(
@@ -79,7 +79,8 @@ def format_conversations(
     text_col: str = "text",
     train_role: str = "assistant",
 ) -> DataFrame:
-    """conv_id, n_turns, formatted and loss_spans (start and length in code points of `formatted`, by turn).
+    """conv_id, n_turns, formatted and loss_spans (start and length in code points of `formatted`, by turn; the turn's
+    number from 0, and where in its rendering the text begins).
 
     Turns are ordered by turn, then role, then text; null turns come first. Null roles and texts are empty, null ids
     form one conversation, repeated rows are turns of their own. Empty tables give no rows; other columns are not read.
@@ -108,7 +109,12 @@ def format_conversations(
         "__piece",
         F.when(
             F.col("__role") == train_role,
-            F.struct((F.coalesce(before, F.lit(0)) + F.col("__skip")).alias("start"), F.col("__len").alias("length")),
+            F.struct(
+                (F.coalesce(before, F.lit(0)) + F.col("__skip")).alias("start"),
+                F.col("__len").alias("length"),
+                (F.row_number().over(by) - 1).alias("turn"),
+                F.col("__skip").alias("skip"),
+            ),
         ).alias("__span"),
     )
     whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("__k", "__piece", "__span"))).alias("__all"))
@@ -122,17 +128,14 @@ def format_conversations(
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The digests of what format_conversations has made, all from `formatted` and `loss_spans`."""
-    parsed = formatted.withColumn("__turns", parse(F.col("formatted")))
+    # spans are cut from their turns, not from the start of the whole, so that long conversations take linear time
+    parsed = formatted.withColumn("__parts", split_turns(F.col("formatted")))
+    parsed = parsed.withColumn("__turns", F.transform("__parts", parse_segment))
     said = F.array_join(
         F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    loss = F.array_join(
-        F.transform(
-            "loss_spans",
-            lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-        ),
-        "",
-    )
+    cut = lambda s: F.substr(F.get("__parts", s["turn"]), (s["skip"] + 1).cast("int"), s["length"].cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(cut(s))), "")
     return parsed.withColumn("__loss", loss).select(
         "conv_id",
         F.size("__turns").cast("long").alias("n_turns"),

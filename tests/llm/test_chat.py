@@ -56,3 +56,27 @@ def test_plain_operators_only(spark):
     plan = chat.read_back(chat.format_conversations(frame(spark, [])))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
     assert chat.read_back(chat.format_conversations(frame(spark, []))).count() == 0
+
+
+def test_spans_are_those_of_the_whole_and_long_conversations_are_quick(spark):
+    import time
+
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} </s> {'é' * (t % 7)} [INST]" if t % 3 else "", None) for t in range(30_000)]
+    made = chat.format_conversations(frame(spark, rows)).collect()
+    (r,) = made
+    told = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+    want = [x if "</s>" not in x else x.replace("</s>", "<\\/s>").replace("[INST]", "[\\INST]") for _, _, role, x, _ in rows if role == "assistant"]
+    assert told == want
+    began = time.perf_counter()
+    back = chat.read_back(spark.createDataFrame(made)).collect()[0]
+    assert time.perf_counter() - began < 20
+    loss = "".join(x for _, _, role, x, _ in rows if role == "assistant")
+    assert (back.n_turns, back.loss_chars, back.loss_sha256) == (30_000, len(loss), sha(loss))
+
+
+def test_a_turn_that_does_not_come_back_fails(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(chat, "escape", lambda c: c)
+    with pytest.raises(Exception, match="does not come back"):
+        chat.format_conversations(frame(spark, [(1, 0, "user", "a </s> b", None)])).collect()
