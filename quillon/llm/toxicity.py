@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, map_batches, prepare
+from quillon.llm.common import map_arrow, map_batches, prepare, table
 from quillon.llm.minhash import shingles
 
 #: At most so many labelled rows, those with the smallest hash of their id, teach the lexicon and the scale.
@@ -156,8 +156,9 @@ def learn(
 ) -> Lexicon:
     """A lexicon from at most sample_rows labelled rows, none of them held out.
 
-    Labels of one id count as their greatest; null ids and labels are ignored. Without labels of both classes the
-    lexicon is empty and every score is the base rate's.
+    Labels of one id count as their greatest, and of its texts the least teaches; null ids, labels and texts are ignored.
+    Without labels of both classes the lexicon is empty and every score is the base rate's. The corpus is read once: the
+    sampled texts, one per id, become a table that all steps of learning read.
     """
     prepare(docs.sparkSession)
     named = (
@@ -170,7 +171,9 @@ def learn(
         .limit(sample_rows)
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    some = texts.join(F.broadcast(named), "i")  # bounded by sample_rows ids
+    # bounded by sample_rows ids, so the build side may be broadcast; repeated ids are settled before their shuffle
+    some = texts.where("t is not null").join(F.broadcast(named), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    some = table(some.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)), "sample")
     kind = some.schema["i"].dataType.simpleString()
 
     def keys(batch: pa.RecordBatch) -> dict:
@@ -179,7 +182,7 @@ def learn(
 
     once = _without_copies(map_arrow(some.select("i", "y", "t"), f"i {kind}, y int, keys array<long>", keys).collect())
     named = docs.sparkSession.createDataFrame(once, f"i {kind}, y int")
-    some = texts.join(F.broadcast(named), "i").select("t", "y")
+    some = some.drop("y").join(F.broadcast(named), "i").select("t", "y")
 
     def count(batches):
         both = (Counter(), Counter())

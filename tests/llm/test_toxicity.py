@@ -76,3 +76,30 @@ def test_without_labels(spark):
 def test_copies_teach_once():
     terms = toxicity.choose([(" abc ", 3, 0), (" abcd ", 40, 0), (" abcde ", 50, 1), (" xyz ", 20, 30)], 100, 900, 5000)
     assert " abcd " in terms and " xyz " not in terms and " abc " not in terms
+
+
+def test_matching_against_brute_force():
+    rng = random.Random(31)
+    letters = "abcо0"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+    for _ in range(400):
+        terms = {t: rng.choice([1.0, 2.0, 3.5]) for t in {" " + fold(word()).strip() + rng.choice(["", " "]) for _ in range(6)} if t.strip()}
+        phrases = {f" {fold(word()).strip()} {fold(word()).strip()} " for _ in range(3)} - set(terms)
+        folded = fold(" ".join(word() for _ in range(rng.randint(0, 25))))
+        best = {}
+        for start in range(len(folded)):
+            for term, weight in terms.items():
+                if folded.startswith(term, start) and weight > best.get(start, (0, 0.0))[1]:
+                    best[start] = (start + len(term), weight)
+        safe = [(a, a + len(p)) for p in phrases for a in range(len(folded)) if folded.startswith(p, a)]
+        want = sorted((a, w) for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in safe))
+        assert sorted((a, w) for a, _, w in Lexicon(terms, phrases).hits(folded)) == want
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    again = docs.unionByName(docs.where("doc_id = 5").crossJoin(spark.range(500)).drop("id"))
+    one, two = toxicity.learn(docs, lab), toxicity.learn(again, lab)
+    assert one.terms == two.terms and one.scale == two.scale and one.exceptions == two.exceptions
