@@ -19,8 +19,8 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] >= self.threshold if self.above else x[self.feature] < self.threshold
 
-    def column(self) -> Column:
-        c = F.col(self.feature)
+    def column(self, prefix: str = "") -> Column:
+        c = F.col(prefix + self.feature)
         return c >= F.lit(self.threshold) if self.above else c < F.lit(self.threshold)
 
 
@@ -107,7 +107,8 @@ def learn(
     """Ordered rules for the rows with y true, all others being the default.
 
     Two thirds of the rows grow each rule and one third prunes it. A rule is kept if its precision over all rows it
-    is the first to cover reaches `precision` and it covers `least` positives. No rows or one class: no rules.
+    is the first to cover reaches `precision` and it covers `least` positives; the list ends with the first rule that does
+    not, as later ones would be grown from the same rows. No rows or one class: no rules.
     """
     n = len(y)
     if not n or y.all() or not y.any():
@@ -132,12 +133,12 @@ def learn(
     return out
 
 
-def expression(rules: list[Rule], matched: Column, default: Column) -> Column:
-    """The list as one ordered Spark conditional: the first rule that holds decides."""
+def expression(rules: list[Rule], matched: Column, default: Column, prefix: str = "") -> Column:
+    """The list as one ordered Spark conditional over columns prefix + feature: the first rule that holds decides."""
     out = None
     for rule in rules:
-        test = rule[0].column()
+        test = rule[0].column(prefix)
         for c in rule[1:]:
-            test = test & c.column()
+            test = test & c.column(prefix)
         out = F.when(test, matched) if out is None else out.when(test, matched)
     return default if out is None else out.otherwise(default)

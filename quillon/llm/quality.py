@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import decision_list
-from quillon.llm.common import map_arrow, prepare
+from quillon.llm.common import columns_of, free_prefix, map_arrow, prepare
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -124,8 +124,8 @@ def learn_rules(
 ) -> list[decision_list.Rule]:
     """Rules that reject, learned from at most `sample_rows` labelled documents.
 
-    Several labels of one id count as their least; null ids and null labels are ignored. Documents that the base rule
-    rejects teach nothing, as the list never decides on them.
+    Several labels of one id count as their least, and of several documents the one with the least ratios teaches; null ids
+    and null labels are ignored. Documents that the base rule rejects teach nothing, as the list never decides on them.
     """
     prepare(docs.sparkSession)
     named = (
@@ -141,17 +141,19 @@ def learn_rules(
     some = with_stats(texts.join(F.broadcast(named), "__q_id"), text_col="__q_text", prefix=prefix)
     some = _with_ratios(some, prefix).where(~base_failed(prefix))
     cols = [prefix + k for k in (*RATIOS, "n_words")]
-    rows = some.select("__q_id", "__q_y", *cols).limit(4 * sample_rows).toPandas()
+    # one row per id, hence sample_rows rows at most, the same ones in every run
+    one = some.groupBy("__q_id", "__q_y").agg(F.min(F.struct(*cols)).alias("__q_row")).select("__q_id", "__q_y", "__q_row.*")
+    rows = one.toPandas()
     rows = rows.sort_values(["__q_id", *cols], kind="stable")
     rows = rows.iloc[np.random.default_rng(7).permutation(len(rows))]
-    x = {c: rows[c].to_numpy(float) for c in cols}
+    x = {c.removeprefix(prefix): rows[c].to_numpy(float) for c in cols}
     return decision_list.learn(x, rows["__q_y"].to_numpy() == 0)
 
 
 def judge(df: DataFrame, rules: list[decision_list.Rule], *, text_col: str = "text", prefix: str = "__q_") -> DataFrame:
     """df with its counts, prefix + base_failed and prefix + kept; one narrow pass over the whole texts."""
     out = _with_ratios(with_stats(df, text_col=text_col, prefix=prefix), prefix)
-    verdict = decision_list.expression(rules, F.lit(False), F.lit(True))
+    verdict = decision_list.expression(rules, F.lit(False), F.lit(True), prefix)
     out = out.withColumn(prefix + "base_failed", base_failed(prefix))
     return out.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & verdict)
 
@@ -170,7 +172,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
+    """The rows of docs (doc_id, text and any others) that pass, with the columns of docs, whatever their names.
+
+    Null and empty texts have no words and go, by the base rule; repeated rows and null ids are judged each on their own.
+    Empty tables of documents or labels are allowed: without labels of both classes only the base rule rejects.
+    """
     prepare(docs.sparkSession)
     rules = learn_rules(docs, labels)
-    return judge(docs, rules).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_prefix(docs.columns, "__q_")
+    return judge(docs, rules, prefix=prefix).where(F.col(prefix + "kept")).select(*columns_of(docs))

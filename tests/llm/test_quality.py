@@ -103,3 +103,24 @@ def test_list_is_ordered_and_interpretable(spark):
 @pytest.mark.parametrize("y", [np.zeros(0, bool), np.zeros(9, bool), np.ones(9, bool)])
 def test_nothing_to_learn(y):
     assert decision_list.learn({"a": np.arange(len(y), dtype=float)}, y) == []
+
+
+def test_repeated_ids_teach_once_and_left_out_rows_are_judged(spark):
+    rows, labels = corpus()
+    docs = documents(spark, rows)
+    half = [x for x in labels if x[0] % 3]
+    lab = spark.createDataFrame(half, "doc_id long, quality int")
+    again = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(300)).drop("id"))
+    assert quality.learn_rules(docs, lab) == quality.learn_rules(again, lab) != []
+    left = {r.doc_id: r.kept for r in quality.quality(docs, lab).where("doc_id % 3 = 0").collect()}
+    right = sum(left[i] == (q == 1) for i, q in labels if not i % 3)
+    assert right >= 0.98 * len(left)
+
+
+def test_stage_with_clashing_names(spark):
+    rows, labels = corpus()
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t, *_ in rows] + [(None, None, None, None), (None, "", 2, "")], "doc_id long, text string, __q_kept int, `a.b` string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = quality.keep_quality(df, lab)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {i for i, q in labels if q}
+    assert quality.keep_quality(df.limit(0), lab).count() == 0 and quality.keep_quality(df, lab.limit(0)).count() > 0
