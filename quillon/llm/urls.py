@@ -40,6 +40,8 @@ PATTERNS = (
 
 #: Rule tokens up to this many are broadcast when their frequencies are counted; more are met in a join.
 BROADCAST_TOKENS = 100_000
+#: More rules (about 500 bytes each) are an error.
+MAX_RULES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,18 @@ class RuleIndex:
                 self.by_token[rarest].append((k, rule))
             else:
                 self.always.append((k, rule))
-        self.compiled = {r.regex: re.compile(r.regex, re.S) for r in rules}
+        self._compiled: dict[str, re.Pattern] = {}
+
+    def __getstate__(self):
+        return self.by_token, self.always  # patterns are compiled where a url fetches their rules
+
+    def __setstate__(self, state):
+        (self.by_token, self.always), self._compiled = state, {}
+
+    def _regex(self, rule: UrlRule) -> re.Pattern:
+        if rule.regex not in self._compiled:
+            self._compiled[rule.regex] = re.compile(rule.regex, re.S)
+        return self._compiled[rule.regex]
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         """host, path, rule and verdict of one url."""
@@ -99,9 +112,9 @@ class RuleIndex:
         named, verdict, blocked, allowed = None, "allow", False, False
         for k, rule in found:
             if rule.site:
-                if path and self.compiled[rule.regex].match(where) and (best is None or (len(rule.name), -k) > best):
+                if path and self._regex(rule).match(where) and (best is None or (len(rule.name), -k) > best):
                     best, named, verdict = (len(rule.name), -k), rule.name, rule.verdict
-            elif self.compiled[rule.regex].search(lower):
+            elif self._regex(rule).search(lower):
                 blocked |= rule.verdict == "block"
                 allowed |= rule.verdict == "allow"
         if best is None and blocked and not allowed:
@@ -133,6 +146,16 @@ def token_frequency(pages: DataFrame, tokens: set[str], url_col: str = "url") ->
     return {r["t"]: r["n"] for r in seen.join(names, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
+def _rows(rules, *columns: str) -> list[tuple]:
+    """Rules as a list; a table of them has MAX_RULES rows at most, without nulls, repeated rows once, in their own order."""
+    if not isinstance(rules, DataFrame):
+        return list(rules)
+    rows = rules.select(*columns).dropna().distinct().orderBy(*columns).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [tuple(r) for r in rows]
+
+
 def filter_urls(
     pages: DataFrame,
     site_rules=SITE_RULES,
@@ -143,17 +166,20 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, host, path, rule and verdict per row of pages.
 
+    site_rules and patterns are lists, or tables (verdict, host, path) and (verdict, pattern) of MAX_RULES rows at most,
+    without null entries; the index of all of them is broadcast.
     The longest site rule that fits decides; else a url that a block pattern and no allow pattern matches is blocked,
     and all others are allowed. Null and malformed urls have an empty host and path, which no site rule fits. Repeated
     rows and null ids each give their own row; further columns are not read.
     """
     prepare(pages.sparkSession)
+    site_rules, patterns = _rows(site_rules, "verdict", "host", "path"), _rows(patterns, "verdict", "pattern")
     rules = [site_rule(*r) for r in site_rules] + [pattern_rule(*p) for p in patterns]
     some = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
-    index = RuleIndex(rules, token_frequency(some, {t for r in rules for t in r.tokens}))
+    held = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules, token_frequency(some, {t for r in rules for t in r.tokens})))
 
     def judged(batch: pa.RecordBatch) -> dict:
-        got = [index.judge(u) for u in batch.column("url").to_pylist()]
+        got = [held.value.judge(u) for u in batch.column("url").to_pylist()]
         cols = list(zip(*got, strict=True))
         return {"page_id": batch.column("page_id")} | {
             n: pa.array(c, pa.string()) for n, c in zip(("host", "path", "rule", "verdict"), cols, strict=True)

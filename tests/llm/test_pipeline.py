@@ -66,3 +66,53 @@ def test_mix(steps):
 
 def test_run(spark, steps):
     assert ids(corpus_pipeline.run(spark, SF)) == ids(steps[5])
+
+
+ODD = [
+    (None, None, "en", None, None, 1),
+    (None, "", "en", "a", 0, 2),
+    (7, "too short", None, "b", 9, 3),
+    (8, None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with nulls, repeated rows and ids, missing ids and a further column with the names that stages use."""
+    rng = __import__("random").Random(5)
+    text = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}x{k}" for _ in range(60))
+    own = [text(k) for k in range(12)]
+    long_line = "this very line stands in many documents of this small table"
+    rows = list(ODD)
+    rows += [(100 + k, f"{t}\n{long_line}", "en", "ab"[k % 2], 1, k) for k, t in enumerate(own)]
+    rows += [(100, f"{own[0]}\n{long_line}", "en", "a", 1, 0)] * 3  # repeated rows
+    rows += [(None, own[1] + " more", "en", None, 1, 5)] * 2  # without ids, near copies of another
+    rows += [(101, text(99), "en", "c", 1, 6)]  # another text under a known id
+    names = "doc_id long, text string, lang string, source string, n_chars long, __q_kept long"
+    folder = tmp_path_factory.mktemp("odd")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(100, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.createDataFrame(rows, names), str(folder)
+
+
+def test_stages_with_nulls_repeated_rows_and_clashing_columns(spark, odd):
+    docs, folder = odd
+    n = docs.count()
+    out = {name: stage(spark, docs, folder) for name, stage in corpus_pipeline.STAGES}
+    assert all(d.columns == docs.columns for d in out.values())
+    rows = {k: d.collect() for k, d in out.items()}
+    assert len(rows["quality rules"]) == n - len(ODD)
+    assert len(rows["line dedup"]) == len(rows["benchmark decontamination"]) == n
+    line = "this very line stands in many documents of this small table"
+    assert [r.doc_id for r in rows["line dedup"] if line in (r.text or "")] == [111]
+    # three repeats and two near copies without ids are too many
+    assert len(rows["near dedup"]) == n - 5 and sum(r.doc_id == 101 for r in rows["near dedup"]) == 2
+    assert sorted(map(str, rows["benchmark decontamination"])) == sorted(map(str, docs.collect()))
+    assert {str(r) for r in rows["mixing sources"]} <= {str(r) for r in docs.collect()}
+
+
+def test_stages_of_empty_tables(spark, odd):
+    docs, folder = odd
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), folder)
+        assert out.columns == docs.columns and out.count() == 0

@@ -1,10 +1,12 @@
 """URL rules by index against trying every rule."""
 
 import random
+import re
 
 import pytest
 
 from quillon.llm import urls
+from quillon.llm import urls as U
 
 
 @pytest.mark.parametrize(
@@ -54,3 +56,25 @@ def test_frame(spark):
     got = [tuple(r) for r in out.select("page_id", "host", "path", "rule", "verdict").collect()]
     assert got == [(1, "a.org", "/x", "org/", "allow")] * 2 + [(None, "", "", None, "allow"), (2, "", "", None, "allow")]
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_thousands_of_rules_from_tables(spark):
+    rng = random.Random(6)
+    name = lambda: rng.choice(["shop", "news", "ads", "mail", "x", "img"]) + str(rng.randrange(60))
+    site = [(rng.choice(["allow", "block"]), f"{name()}.{rng.choice(['com', 'org'])}", "/" + "/".join(name() for _ in range(rng.randrange(3)))) for _ in range(3000)]
+    site = list({(h, p): (v, h, p) for v, h, p in site}.values())
+    patterns = [("block", f"^{name()}-{name()}^") for _ in range(2000)] + [("allow", f"/{name()}/*.{rng.choice(['gif', 'js'])}") for _ in range(300)] + [("block", "*banner")]
+    addresses = [f"https://{rng.choice(['', 'www.'])}{name()}.{rng.choice(['com', 'org', 'net'])}/{name()}/{name()}-{name()}/{rng.choice(['a.gif', 'b.js', 'banner', ''])}" for _ in range(600)]
+    tables = spark.createDataFrame([*site, (None, "a", "/")], "verdict string, host string, path string"), spark.createDataFrame([*patterns, ("block", None)], "verdict string, pattern string")
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(pages, *tables).collect()}
+    rules = [U.pattern_rule(*p) for p in patterns]
+    seen = set()
+    for k, url in enumerate(addresses):
+        host, path = U.split_url(url)
+        fits = [(len(h + p), -n, h + p, v) for n, (v, h, p) in enumerate(sorted(site)) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        hit = {r.verdict for r in rules if re.search(r.regex, url.lower(), re.S)}
+        want = max(fits)[2:] if fits else (None, "block" if hit == {"block"} else "allow")
+        seen.add((want[0] is None, want[1]))
+        assert got[k] == want, url
+    assert len(seen) == 4
