@@ -118,7 +118,7 @@ def mix(
     sizes = table(base.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("m")), "sources")
     few = sizes.count() <= BROADCAST_SOURCES
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    name = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit("")).alias("name")).alias("__s")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias("__s")  # noqa: E731  null is a source
     share = targets(sizes.drop("m"), weights, one_task=few)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     share = share.select(name(F.col("source")), "source_size", "target", F.floor(ratio).cast("long").alias("__sure"), (ratio - F.floor(ratio)).alias("__p"))
