@@ -87,17 +87,18 @@ HOT = 1000
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: str, counts: DataFrame) -> DataFrame:
-    """left joined with right, which has one row per key, where a few keys may hold most rows of left.
+    """left joined with right (one row per key), where a few keys may hold most rows of left.
 
-    counts has each key with m, its rows in left. The rows of right for hot keys, fewer than HOT, are broadcast; the rows
-    of left that meet them are not shuffled. left is read twice, so it should be a table.
+    counts has each key with m, its rows in left. Hot keys, fewer than HOT, are filtered apart by name: their rows of right
+    are broadcast, and the rows of left that meet them are not shuffled. left is read twice, so it should be a table.
     """
     total = counts.agg(F.sum("m")).first()[0] or 0
-    hot = table(counts.where(F.col("m") * HOT > total).select(on), "hot")
-    if not hot.count():
+    keys = [r[0] for r in counts.where(F.col("m") * HOT > total).select(on).collect()]
+    if not keys:
         return left.join(right, on)
-    few = table(right.join(F.broadcast(hot), on), "hot")
-    return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+    hot = F.col(on).isin([F.lit(bytes(k) if isinstance(k, bytearray) else k) for k in keys])
+    few = table(right.where(hot), "hot")  # fewer than HOT rows
+    return left.where(hot).join(F.broadcast(few), on).unionByName(left.where(~hot).join(right.where(~hot), on))
 
 
 def discard(*tables: DataFrame) -> None:

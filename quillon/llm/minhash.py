@@ -26,9 +26,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Pairs whose signatures agree on a smaller share are not worth a look at the sets (5 deviations below the threshold).
 AGREE = 0.6
 #: Classes of a bucket whose sketches (about 700 bytes each) a task holds to compare others with.
-BLOCK = 2048
+BLOCK = 1024
 #: Classes of a bucket that are compared with one block by one task, one after the other.
-GUESTS = 4096
+GUESTS = 1024
 #: Classes whose whole sets a task holds to compare others with, and classes that it compares with them.
 SETS = 256
 #: Members of one first class that are confirmed together.
@@ -517,9 +517,11 @@ def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeats = table(rows.where("cls is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "repeats")
     texts = _Texts(docs, classes, bool(repeats.limit(1).count()))
     spread = classes.select("cls", F.explode("bands").alias("key"))
-    shared = table(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).where("m > 1"), "shared")
+    shared = table(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     buckets = table(skew_join(spread, shared.drop("m"), "key", shared), "buckets")
-    discard(shared)
+    heads = table(buckets.groupBy("key").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("m")), "heads")
+    buckets, single = table(skew_join(buckets, heads.drop("m"), "key", heads), "buckets"), buckets
+    discard(shared, heads, single)
     sigs = classes.select("cls", "sig", "prints", "n")
     comps = components(_confirm(table(_star(buckets, sigs), "pairs"), texts))
     comps = _joined(comps, _confirm(_across(buckets, comps, sigs), texts))
