@@ -22,30 +22,51 @@ from quillon.operators import shred as S
 TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
 
 
-def make_udf(kind: T.DataType, fn: Callable, one: bool = False, nulls: bool = False):
-    """An Arrow UDF of fn over Python values, of one argument or any number. NULL in gives NULL out unless nulls is set."""
+def _values(array: pa.Array) -> list:
+    return S.from_arrow(array) if S.is_shredded(array.type) else array.to_pylist()
+
+
+def _array(rows: list, kind: pa.DataType) -> pa.Array:
+    """Python values as an array; structs are built field by field, which is several times faster than row by row."""
+    if not pa.types.is_struct(kind) or not kind.num_fields:
+        return pa.array(rows, kind)
+    cols = [_array([None if r is None else r[f.name] for r in rows], f.type) for f in kind]
+    return pa.StructArray.from_arrays(cols, fields=list(kind), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def make_udf(kind: T.DataType | S.Spec, fn: Callable, one: bool = False, nulls: bool = False):
+    """An Arrow UDF of fn over Python values, of one argument or any number. NULL in gives NULL out unless nulls is set.
+
+    For a spec, fn gives what S.shred_parts does, and the result is a shredded document. Such results are evaluated once:
+    marked as not deterministic, they are neither moved below filters nor repeated for each read of a lane.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = to_arrow_type(kind)
+    spec = kind if isinstance(kind, S.Spec) else None
+    arrow = None if spec else to_arrow_type(kind)
 
     def run(*arrays: pa.Array) -> pa.Array:
-        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-        return pa.array([None if not nulls and None in row else fn(*row) for row in rows], arrow)
+        rows = zip(*map(_values, arrays), strict=True)
+        made = [None if not nulls and None in row else fn(*row) for row in rows]
+        return S.to_arrow(made, spec) if spec else _array(made, arrow)
 
     if one:
 
         def single(a: pa.Array) -> pa.Array:
             return run(a)
 
-        return arrow_udf(single, kind)
+        call = single
+    else:
 
-    def many(*a: pa.Array) -> pa.Array:
-        return run(*a)
+        def many(*a: pa.Array) -> pa.Array:
+            return run(*a)
 
-    return arrow_udf(many, kind)
+        call = many
+    udf = arrow_udf(call, spec.spark_type() if spec else kind)
+    return udf.asNondeterministic() if spec else udf
 
 
-def _udf(kind: T.DataType, fn: Callable, *cols: Column) -> Column:
+def _udf(kind: T.DataType | S.Spec, fn: Callable, *cols: Column) -> Column:
     """fn over the Python values of cols, an Arrow batch at a time; rows with a NULL first column are NULL."""
     if len(cols) == 1:
         return make_udf(kind, fn, one=True)(cols[0])
@@ -89,7 +110,7 @@ def quote(text: Column | str) -> Column:
 def shred(document: Column | str, spec: dict | S.Spec, *, roundtrip: bool = False) -> Column:
     """A plain document, or a JSON text, with the lanes of spec. roundtrip also lifts parsed fractions into DOUBLE lanes."""
     spec = S.Spec.of(spec)
-    return _udf(spec.spark_type(), lambda t: S.shred_tree(canon.parse(t), spec, roundtrip), _col(document))
+    return _udf(spec, lambda t: S.shred_parts(canon.parse(t), spec, roundtrip), _col(document))
 
 
 def reshred(document: Column | str, old: dict | S.Spec, new: dict | S.Spec, *, roundtrip: bool = False) -> Column:
@@ -97,7 +118,7 @@ def reshred(document: Column | str, old: dict | S.Spec, new: dict | S.Spec, *, r
     old, new = S.Spec.of(old), S.Spec.of(new)
     if old == new:
         return _col(document)
-    return _udf(new.spark_type(), lambda r: S.shred_tree(S.reconstruct_tree(r, old, canon.parse), new, roundtrip), _col(document))
+    return _udf(new, lambda r: S.shred_parts(S.reconstruct_tree(r, old, canon.parse), new, roundtrip), _col(document))
 
 
 def reconstruct(document: Column | str, spec: dict | S.Spec) -> Column:

@@ -12,8 +12,12 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import cached_property
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions import coerce, path as P
 from quillon.functions.canon import DocError, Num, format_double, render
@@ -177,9 +181,18 @@ def _parent(tree, steps: P.Path):
 
 def shred_tree(tree, spec: Spec, roundtrip: bool = False) -> dict:
     """A row of spec's type from a tree, which is taken over and changed."""
-    lanes: dict[str, object] = {}
-    manifest, spills, rank = [], [0] * spec.n_spill, 0
-    for x in spec.lanes:
+    residual, taken, marks, values = shred_parts(tree, spec, roundtrip)
+    lanes = {x.name: v for x, v in zip(spec.lanes, values, strict=True)}
+    meta = {SET: marks[0]} | {f"{SPILL}{k}": m for k, m in enumerate(marks[1:])}
+    manifest = [{"path": spec.lanes[k].name, "type": spec.lanes[k].ddl} for k in taken]
+    return {"residual": residual, "manifest": manifest, "shreds": meta | lanes}
+
+
+def shred_parts(tree, spec: Spec, roundtrip: bool = False) -> tuple[str, list[int], list, list]:
+    """The residual, the numbers of the lanes that were filled, the marker with the spill bits, and the lanes' values."""
+    values: list = []
+    taken, spills, rank = [], [0] * spec.n_spill, 0
+    for k, x in enumerate(spec.lanes):
         value = None
         bit, rank = rank, rank + x.scalar
         holder = _parent(tree, x.path)
@@ -194,12 +207,61 @@ def shred_tree(tree, spec: Spec, roundtrip: bool = False) -> dict:
                 spills[bit // BITS] |= 1 << (bit % BITS)
         elif isinstance(v, list):
             value = _lift_objects(v, x.fields, roundtrip) if x.fields else _lift_scalars(v, x.kind, roundtrip)
-        lanes[x.name] = value
+        values.append(value)
         if value is not None:
-            manifest.append({"path": x.name, "type": x.ddl})
-    clean = spec.clean
-    meta = {SET: clean ^ 1 if any(spills) else clean} | {f"{SPILL}{k}": s or None for k, s in enumerate(spills)}
-    return {"residual": render(tree), "manifest": manifest, "shreds": meta | lanes}
+            taken.append(k)
+    return render(tree), taken, [spec.clean ^ 1 if any(spills) else spec.clean, *[s or None for s in spills]], values
+
+
+def is_shredded(kind: pa.DataType) -> bool:
+    return pa.types.is_struct(kind) and [f.name for f in kind] == ["residual", "manifest", "shreds"]
+
+
+def to_arrow(rows: list[tuple | None], spec: Spec) -> pa.Array:
+    """What shred_parts gives per row (None for NULL) as an array of spec's type, built column by column."""
+    kind = to_arrow_type(spec.spark_type())
+    null = pa.array([r is None for r in rows], pa.bool_())
+    blank = (None, (), [None] * (1 + spec.n_spill), [None] * len(spec.lanes))
+    parts = [blank if r is None else r for r in rows]
+    where = [k for _, taken, _, _ in parts for k in taken]
+    at = pa.array(where, pa.int32())
+    names = [pa.array([getattr(x, n) for x in spec.lanes], pa.string()).take(at) for n in ("name", "ddl")]
+    ends = list(accumulate((len(taken) for _, taken, _, _ in parts), initial=0))
+    starts = [None if n else e for n, e in zip(null.to_pylist(), ends, strict=False)]
+    entry = kind.field("manifest").type.value_type
+    manifest = pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), pa.StructArray.from_arrays(names, fields=list(entry)))
+    shreds = kind.field("shreds").type
+    fields = list(shreds)
+    n_meta = 1 + spec.n_spill
+    cols = [pa.array([m[k] for _, _, m, _ in parts], fields[k].type) for k in range(n_meta)]
+    cols += [pa.array([v[k] for _, _, _, v in parts], fields[n_meta + k].type) for k in range(len(spec.lanes))]
+    residual = pa.array([r for r, _, _, _ in parts], pa.string())
+    lanes = pa.StructArray.from_arrays(cols, fields=fields, mask=null)
+    return pa.StructArray.from_arrays([residual, manifest.cast(kind.field("manifest").type), lanes], fields=list(kind), mask=null)
+
+
+def from_arrow(array: pa.Array) -> list[dict | None]:
+    """The rows of an array of a shredded type, read column by column; rows with equal manifests share one list."""
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    live = array.is_valid().to_pylist()
+    residual, manifest, shreds = array.flatten()
+    names = [f.name for f in shreds.type]
+    lanes = [c.to_pylist() for c in shreds.flatten()]
+    entries = manifest.flatten()
+    paths, types = (c.to_pylist() for c in entries.flatten())
+    sizes = pc.list_value_length(manifest).to_pylist()
+    known: dict[tuple, list[dict]] = {}
+    out: list[dict | None] = []
+    at = 0
+    rows = zip(*lanes, strict=True) if lanes else [()] * len(array)
+    for alive, text, n, row in zip(live, residual.to_pylist(), sizes, rows, strict=True):
+        some = (*paths[at : at + (n or 0)], *types[at : at + (n or 0)])
+        at += n or 0
+        if some not in known:
+            known[some] = [{"path": p, "type": t} for p, t in zip(some[: len(some) // 2], some[len(some) // 2 :], strict=True)]
+        out.append({"residual": text, "manifest": known[some], "shreds": dict(zip(names, row, strict=True))} if alive else None)
+    return out
 
 
 def _lift_scalars(v: list, kind: str, roundtrip: bool) -> list:

@@ -123,7 +123,7 @@ def register_transform(spark: SparkSession, name: str, spec: dict, on_type_misma
 def register_shred(spark: SparkSession, name: str, spec: dict, *, roundtrip: bool = False) -> None:
     """Registers name(document) as shred with a constant spec; a shredded document is shredded anew."""
     made = S.Spec.of(spec)
-    spark.udf.register(name, C.make_udf(made.spark_type(), lambda d: S.shred_tree(_tree(d), made, roundtrip)))
+    spark.udf.register(name, C.make_udf(made, lambda d: S.shred_parts(_tree(d), made, roundtrip)))
 
 
 def document_view(df: DataFrame, name: str, column: str, reads: dict[str, str | tuple[str, str]], *, clean: bool = False) -> DataFrame:
