@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon import sql
+from quillon import sources, sql
 from quillon.functions import columns as C
 from quillon.operators import advisor, aggregates as A, construct
 from quillon.plans import reader as R
@@ -31,12 +31,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become documents."""
+    return sources.spread(_t(spark, sf_dir, name))
+
+
 # documents derived from the tables
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id, ts and doc {event_id, event_type, props: {k}, user_id} as text."""
-    e = _t(spark, sf_dir, "events")
+    e = _wide(spark, sf_dir, "events")
     text = F.concat(
         F.lit('{"user_id":'), F.col("user_id"), F.lit(',"event_type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"),
         F.lit(',"event_id":'), F.col("event_id"), F.lit("}"),
@@ -50,7 +55,7 @@ _EVENT = (
 
 
 def order_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A struct per order: key, priority, status and items in line order."""
+    """A struct per order: key, priority, status and items in line order, an empty array for orders without lines."""
     line = _t(spark, sf_dir, "lineitem")
     item = F.struct(
         F.col("l_linenumber").alias("n"),
@@ -59,9 +64,12 @@ def order_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("i"),
     )
     items = line.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["i"]).alias("items"))
-    orders = _t(spark, sf_dir, "orders")
-    joined = orders.join(items, orders["o_orderkey"] == items["l_orderkey"])
-    body = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"), "items")
+    orders = _wide(spark, sf_dir, "orders")
+    joined = orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left")
+    none = F.array().cast(items.schema["items"].dataType)
+    body = F.struct(
+        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"), F.coalesce("items", none).alias("items")
+    )
     return joined.select("o_orderkey", "o_custkey", body.alias("s"))
 
 
@@ -70,13 +78,13 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "o_custkey", construct.plain(F.col("s"), df.schema["s"].dataType).alias("doc"))
 
 
-_ITEMS = "to_json(list({'flag': l_returnflag, 'part': l_partkey, 'qty': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), l_returnflag))"
+_ITEMS = "to_json(list({'flag': l_returnflag, 'part': l_partkey, 'qty': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), l_returnflag) FILTER (l_orderkey IS NOT NULL))"
 _ORDER = f"""
 o AS (
   SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(o_orderstatus) AS status, any_value(o_orderpriority) AS prio,
-         CAST({_ITEMS} AS VARCHAR) AS items, count(*) AS n_items, sum(CAST(l_quantity AS BIGINT)) AS qty,
+         coalesce(CAST({_ITEMS} AS VARCHAR), '[]') AS items, count(l_orderkey) AS n_items, sum(CAST(l_quantity AS BIGINT)) AS qty,
          arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
+  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
 ), od AS (
   SELECT *, '{{"items":' || items || ',"key":' || o_orderkey || ',"prio":"' || prio || '","status":"' || status || '"}}' AS doc FROM o
 )
@@ -130,9 +138,9 @@ def _map(k: str, v: str) -> T.DataType:
     return T.StructType.fromDDL(f"m map<{k},{v}>")["m"].dataType
 
 
-@query("SELECT conv_id, turn, CAST(to_json(text) AS VARCHAR) AS quoted FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, CAST(to_json(text) AS VARCHAR) AS quoted FROM conversations")
 def quote_text(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", C.quote("text").alias("quoted"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", C.quote("text").alias("quoted"))
 
 
 # extraction
@@ -246,7 +254,7 @@ def array_elements_join(spark, sf_dir):
 
 @query(
     f"""WITH {_ORDER} SELECT o_orderkey, 'ARRAY' AS t, 'BIGINT' AS k, NULL::VARCHAR AS none, 'items,key,prio,status' AS keys,
-        'flag,part,qty' AS inner_keys, CAST(n_items AS BIGINT) AS n, NULL::BIGINT AS not_array FROM od"""
+        CASE WHEN n_items > 0 THEN 'flag,part,qty' END AS inner_keys, CAST(n_items AS BIGINT) AS n, NULL::BIGINT AS not_array FROM od"""
 )
 def introspection(spark, sf_dir):
     d = order_docs(spark, sf_dir)
@@ -335,7 +343,7 @@ def diff_snapshots(spark, sf_dir):
 def diff_array_counts(spark, sf_dir):
     d = order_docs(spark, sf_dir)
     flags = C.transform("doc", {"f": {"type": ["VARCHAR"], "path": "$.items[*].flag"}})["f"]
-    text = F.concat(F.lit('{"f":["'), F.array_join(flags, '","'), F.lit('"]}'))
+    text = F.concat(F.lit('{"f":['), F.array_join(F.transform(flags, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ","), F.lit("]}"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     d = d.select("o_orderkey", "o_custkey", text.alias("t"))
     d = d.withColumn("c", C.diff(F.lag("t").over(w), F.col("t"), "counts"))
@@ -347,7 +355,7 @@ def diff_array_counts(spark, sf_dir):
 
 
 def event_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+    e = _wide(spark, sf_dir, "events")
     text = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":{"id":'), F.col("event_id"), F.lit(',"none":null},"last":'), F.col("event_id"), F.lit("}"))
     return e.select("user_id", "ts", "event_id", "event_type", text.alias("doc"))
 

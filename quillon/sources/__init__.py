@@ -9,6 +9,15 @@ from quillon.functions import columns as C
 from quillon.operators import shred as S
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt anew where it has fewer partitions than the session has cores, so that parsing keeps all of them busy.
+
+    For scans only: a table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_documents(spark: SparkSession, *paths: str, merge_schema: bool = True) -> DataFrame:
     """Parquet with document columns. Files with other lanes are read together; markers keep reads right."""
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(*paths)
