@@ -12,6 +12,7 @@ from quillon import sources, sql
 from quillon.functions import columns as C
 from quillon.operators import advisor, aggregates as A, construct
 from quillon.plans import reader as R
+from quillon.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -580,3 +581,229 @@ def sql_functions(spark, sf_dir):
         """SELECT doc_extract_string(doc, '$.event_type') AS event_type, count(*) AS n,
            max(CAST(doc_extract_string(doc, '$.props.k') AS BIGINT)) AS k FROM quillon_event_docs GROUP BY 1"""
     )
+
+
+# merges in one aggregation
+
+
+def wide_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_id, ts and a flat document with two thirds of the keys k00 to k99."""
+    e = _wide(spark, sf_dir, "events")
+    entry = lambda j: F.when(
+        (F.col("event_id") + j) % 3 != 0, F.concat(F.lit('"k'), F.lpad(j.cast("string"), 2, "0"), F.lit('":'), F.col("event_id") * 100 + j)
+    )
+    keys = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(99)), entry))
+    return e.select("user_id", "event_id", "ts", F.concat(F.lit("{"), F.array_join(keys, ","), F.lit("}")).alias("doc"))
+
+
+WIDE_SPEC = {f"k{j:02}": "BIGINT" for j in range(100)}
+
+
+def _wide_sql(fn: str, group: str, name: str) -> str:
+    return f"""WITH w AS (SELECT {group} AS g, j, {fn}(event_id * 100 + j, (ts, event_id)) AS v FROM events, range(100) r(j) WHERE (event_id + j) % 3 <> 0 GROUP BY 1, 2)
+      SELECT g AS {name}, '{{' || string_agg('"k' || lpad(CAST(j AS VARCHAR), 2, '0') || '":' || v, ',' ORDER BY j) || '}}' AS merged FROM w GROUP BY g"""
+
+
+@query(_wide_sql("arg_max", "event_id % 10000", "g"))
+def wide_merge_max_many(spark, sf_dir):
+    d = wide_docs(spark, sf_dir).withColumn("g", F.col("event_id") % 10000)
+    return A.group_merge_max(d, ["g"], "doc", F.struct("ts", "event_id"))
+
+
+@query(_wide_sql("arg_min", "event_id % 10000", "g"))
+def wide_merge_min_many(spark, sf_dir):
+    d = wide_docs(spark, sf_dir).withColumn("g", F.col("event_id") % 10000)
+    return A.group_merge_min(d, ["g"], "doc", F.struct("ts", "event_id"))
+
+
+@query(_wide_sql("arg_max", "user_id", "user_id"))
+def wide_merge_max_few(spark, sf_dir):
+    return A.group_merge_max(wide_docs(spark, sf_dir), ["user_id"], "doc", F.struct("ts", "event_id"))
+
+
+@query(_wide_sql("arg_max", "user_id", "user_id"))
+def wide_merge_shredded(spark, sf_dir):
+    """Shredded documents in, a shredded document out, read as a whole."""
+    d = wide_docs(spark, sf_dir).select("user_id", "ts", "event_id", C.shred("doc", WIDE_SPEC).alias("j"))
+    out = A.group_merge_max(d, ["user_id"], "j", F.struct("ts", "event_id"))
+    return out.select("user_id", R.Reader(out, "merged").plain.alias("merged"))
+
+
+@query(
+    f"""WITH a AS ({_merged_sql("arg_min")}),
+        b AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS id FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+        SELECT a.user_id, a.merged AS earliest, '{{"last":' || id || ',"purchase":{{"id":' || id || '}}}}' AS bought FROM a LEFT JOIN b USING (user_id)"""
+)
+def merge_pair(spark, sf_dir):
+    """Two merges in one aggregation, one of them over some rows only."""
+    key = F.struct("ts", "event_id")
+    return A.merges(
+        event_patches(spark, sf_dir), ["user_id"], earliest=A.Merge("doc", key, "min"), bought=A.Merge("doc", key, where=F.col("event_type") == "purchase")
+    )
+
+
+# SQL names with NULLs
+
+
+@query(
+    """WITH s AS (SELECT event_id, event_type AS t, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+       SELECT event_id, CASE WHEN p = t THEN '{}' ELSE '{"t":"' || t || '"}' END AS forth,
+         CASE WHEN p IS NULL THEN '{"t":null}' WHEN p = t THEN '{}' ELSE '{"t":"' || p || '"}' END AS back,
+         '{"n":1,"t":"' || t || '"}' AS patched, CASE WHEN p IS NOT NULL THEN '{"t":"' || p || '"}' END AS unpatched,
+         '{"t":"' || coalesce(p, t) || '"}' AS laid, p AS text FROM s"""
+)
+def sql_null_rules(spark, sf_dir):
+    sql.register(spark)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    d = _wide(spark, sf_dir, "events").withColumn("cur", F.concat(F.lit('{"t":"'), "event_type", F.lit('"}')))
+    d.withColumn("prev", F.lag("cur").over(w)).createOrReplaceTempView("quillon_event_steps")
+    return spark.sql(
+        """SELECT event_id, doc_diff(prev, cur) AS forth, doc_diff(cur, prev) AS back, doc_merge_patch(prev, cur, '{"n":1}') AS patched,
+           doc_merge_patch(cur, prev) AS unpatched, doc_overlay(prev, cur) AS laid, doc_extract_string(prev, '$.t') AS text FROM quillon_event_steps"""
+    )
+
+
+# documents with escapes, fractions, misfits, nulls and repeated keys
+
+ODD_SPEC = {"conv": "BIGINT", "half": "DOUBLE", "role": "VARCHAR", "text": "VARCHAR", "turn": "BIGINT", "tags": "VARCHAR[]"}
+_ODD = """'{"conv":' || conv_id || ',"half":' || turn || '.50,"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"tags":['
+  || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',null,7],"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":'
+  || CASE WHEN role = 'assistant' THEN '"t' || turn || '"' ELSE CAST(turn AS VARCHAR) END || '}'"""
+
+
+def odd_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn and JSON texts: turns are misfits in some rows, keys are unordered and one is repeated."""
+    c = _wide(spark, sf_dir, "conversations")
+    text, role = (F.coalesce(C.quote(n), F.lit("null")) for n in ("text", "role"))
+    turn = F.when(F.col("role") == "assistant", F.concat(F.lit('"t'), "turn", F.lit('"'))).otherwise(F.col("turn").cast("string"))
+    body = F.concat(
+        F.lit('{ "turn": '), turn, F.lit(', "role": "gone", "text": '), text, F.lit(',"half":'), "turn", F.lit('.50, "tags" :['), role,
+        F.lit(', null,7],"conv":'), "conv_id", F.lit(', "role":'), role, F.lit("}"),
+    )
+    return c.select("conv_id", "turn", "role", "text", body.alias("doc"))
+
+
+@query(f"SELECT conv_id, turn, {_ODD} AS plain, {_ODD} AS whole FROM conversations")
+def odd_round_trip(spark, sf_dir):
+    d = odd_docs(spark, sf_dir).select("conv_id", "turn", C.doc("doc").alias("plain"), C.shred("doc", ODD_SPEC).alias("j"))
+    return d.select("conv_id", "turn", "plain", R.Reader(d, "j").plain.alias("whole"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 't' || turn ELSE CAST(turn AS VARCHAR) END AS misfit,
+       CASE WHEN role IS DISTINCT FROM 'assistant' THEN turn END AS typed, text AS body, turn || '.50' AS half, role AS tag,
+       CASE WHEN role = 'assistant' THEN 'VARCHAR' ELSE 'BIGINT' END AS kind, 3 AS n FROM conversations"""
+)
+def odd_reads(spark, sf_dir):
+    d = odd_docs(spark, sf_dir).select("conv_id", "turn", C.shred("doc", ODD_SPEC).alias("j"))
+    r = R.Reader(d, "j")
+    reads = {"tag": C.text_at("$.tags[0]"), "kind": C.type_at("turn"), "n": C.length_at("tags")}
+    x = d.select(
+        "conv_id", d["turn"], r.get_text("turn").alias("misfit"), r.get("turn", "BIGINT").alias("typed"), r.get_text("text").alias("body"),
+        r.extract("half").alias("half"), r.read(reads).alias("x"),
+    )
+    return x.select("conv_id", "turn", "misfit", "typed", "body", "half", "x.*")
+
+
+@query(
+    """SELECT unnest(['conv', 'role', 'text', 'turn']) AS path, unnest([1.0, avg(CAST(role IS NOT NULL AS INT)), avg(CAST(text IS NOT NULL AS INT)),
+       avg(CAST(role IS DISTINCT FROM 'assistant' AS INT))]) AS lane_rate, unnest([0.0, 0.0, 0.0, avg(CAST(coalesce(role = 'assistant', false) AS INT))]) AS divert_rate
+       FROM conversations"""
+)
+def odd_stats(spark, sf_dir):
+    spec = {k: v for k, v in ODD_SPEC.items() if k not in ("half", "tags")}
+    d = odd_docs(spark, sf_dir).select(C.shred("doc", spec).alias("j"))
+    return d.agg(advisor.shred_stats(F.col("j"), spec).alias("s")).select(F.inline("s")).drop("type")
+
+
+@query(
+    f"""SELECT conv_id, turn, replace({_ODD}, ',"half":' || turn || '.50', ',"half":"x"') AS patched,
+        CASE WHEN role IS NOT NULL THEN '{{"half":"x","role":null}}' ELSE '{{"half":"x"}}' END AS change FROM conversations"""
+)
+def odd_changes(spark, sf_dir):
+    d = odd_docs(spark, sf_dir).withColumn("doc", C.doc("doc"))
+    gone = F.when(F.col("role").isNotNull(), F.lit('{"half":"x","role":null}')).otherwise(F.lit('{"half":"x"}'))
+    return d.select("conv_id", "turn", C.merge_patch("doc", F.lit('{"half":"x"}')).alias("patched"), C.diff("doc", C.merge_patch("doc", gone)).alias("change"))
+
+
+# stored tables
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of a table that is written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch.new_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, user_id, event_type and doc, shredded, with files ordered by a lane; read back from Parquet."""
+    path = stored(
+        spark, sf_dir, "events", lambda p: sources.write_shredded(event_docs(spark, sf_dir), p, "doc", EVENT_SPEC, cluster_by=["$.props.k"], row_group_bytes=1 << 18)
+    )
+    return sources.read_documents(spark, path)
+
+
+def native_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values in columns of their own, ordered alike."""
+
+    def write(path: str) -> None:
+        x = C.transform("doc", {"event_type": "VARCHAR", "user_id": "BIGINT", "k": {"type": "BIGINT", "path": "$.props.k"}})
+        d = event_docs(spark, sf_dir).select(x.alias("x")).select("x.*")
+        d.sortWithinPartitions("k").write.option("parquet.block.size", 1 << 18).parquet(path)
+
+    return spark.read.parquet(stored(spark, sf_dir, "native", write))
+
+
+_STORED_SQL = "SELECT event_type AS kind, CAST(sum(user_id) AS BIGINT) AS users, count(*) AS n FROM events WHERE CAST(props->>'$.k' AS BIGINT) BETWEEN 20 AND 22 GROUP BY 1"
+
+
+@query(_STORED_SQL)
+def stored_filter(spark, sf_dir):
+    """A band on a lane of a stored table whose rows all fit: the filter reaches the scan as it is."""
+    d = stored_events(spark, sf_dir)
+    r = R.Reader(d, "doc", clean=R.prove_clean(d, "doc"))
+    got = d.where(r.where("$.props.k", ">=", 20) & r.where("$.props.k", "<=", 22))
+    return got.groupBy(r.get_text("event_type").alias("kind")).agg(F.sum(r.get("user_id", "BIGINT")).alias("users"), F.count("*").alias("n"))
+
+
+@query(_STORED_SQL)
+def stored_filter_native(spark, sf_dir):
+    """The same over native columns, for comparison."""
+    d = native_events(spark, sf_dir).where("k between 20 and 22")
+    return d.groupBy(F.col("event_type").alias("kind")).agg(F.sum("user_id").alias("users"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id % 7 AS g, count(*) AS n FROM events GROUP BY 1")
+def stored_residual(spark, sf_dir):
+    """A read that no lane serves."""
+    d = stored_events(spark, sf_dir)
+    return d.groupBy((R.Reader(d, "doc").get("event_id", "BIGINT") % 7).alias("g")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, {_EVENT} AS doc FROM events")
+def stored_whole(spark, sf_dir):
+    d = stored_events(spark, sf_dir)
+    return d.select("event_id", R.Reader(d, "doc").plain.alias("doc"))
+
+
+@query(
+    """SELECT event_type AS kind, CAST(k AS BIGINT) AS k, count(*) AS n FROM (SELECT event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events
+       UNION ALL SELECT event_type, CAST(props->>'$.k' AS BIGINT) FROM events) WHERE k >= 90 GROUP BY 1, 2"""
+)
+def stored_mixed_lanes(spark, sf_dir):
+    """One table of files with different lanes: the marker keeps rows of files that lack a lane."""
+
+    def write(path: str) -> None:
+        sources.write_shredded(event_docs(spark, sf_dir), f"{path}/part=1", "doc", {"event_type": "VARCHAR", "$.props.k": "BIGINT"})
+        sources.write_shredded(event_docs(spark, sf_dir), f"{path}/part=2", "doc", {"event_type": "VARCHAR", "user_id": "BIGINT"})
+
+    d = sources.read_documents(spark, stored(spark, sf_dir, "mixed", write))
+    r = R.Reader(d, "doc")
+    got = d.where(r.where("$.props.k", ">=", 90))
+    return got.groupBy(r.get_text("event_type").alias("kind"), r.get("$.props.k", "BIGINT").alias("k")).agg(F.count("*").alias("n"))

@@ -23,10 +23,10 @@ def result(df, name="merged"):
 
 def test_group_merge_golden(spark):
     rows = [
-        ("a", 1, '{"a":[1,2],"b":1}'), ("a", 2, '{"a":null,"c":3}'), ("b", 1, '{"x":1}'), ("b", 2, "5"), ("c", 1, '{"a":null}'), ("d", 1, None),
-        ("e", 2, None), ("e", 1, '{"q":1}'), (None, 1, '{"n":1}'),
+        ("kept", 10, '{"crew":["ada","bo"],"deck":4}'), ("kept", 20, '{"crew":null,"mast":true}'), ("scalar", 10, '{"oar":"left"}'), ("scalar", 20, '"anchor"'),
+        ("bare", 10, '{"sail":null}'), ("none", 10, None), ("gap", 20, None), ("gap", 10, '{"rope":7.25}'), (None, 10, '{"keel":[]}'),
     ]
-    want = {"a": '{"a":[1,2],"b":1,"c":3}', "b": "5", "c": "{}", "d": None, "e": '{"q":1}', None: '{"n":1}'}
+    want = {"kept": '{"crew":["ada","bo"],"deck":4,"mast":true}', "scalar": '"anchor"', "bare": "{}", "none": None, "gap": '{"rope":7.25}', None: '{"keel":[]}'}
     assert result(A.group_merge(frame(spark, rows), ["g"], "d", ["k"])) == want
 
 
@@ -219,3 +219,55 @@ def test_shred_stats(spark):
     (r,) = df.select(C.shred("d", spec).alias("j")).agg(advisor.shred_stats(F.col("j"), spec).alias("s")).collect()
     assert [(x.path, x.type, x.lane_rate, x.divert_rate) for x in r.s] == [("a", "BIGINT", 0.5, 0.25)]
     assert df.limit(0).select(C.shred("d", spec).alias("j")).agg(advisor.shred_stats(F.col("j"), spec).alias("s")).first().s is None
+
+
+def test_several_merges_with_filters_of_shredded_documents(spark):
+    rng = random.Random(41)
+    rows = []
+    for i in range(300):
+        d = {rng.choice("pqrs"): rng.choice([i, f"t{i}", {"u": i, "v": None}, [i, None]]) for _ in range(rng.randint(0, 3))}
+        d = {k: (v if not isinstance(v, dict) else v) for k, v in d.items() if k != "s" or isinstance(v, dict)}
+        d = {k: v for k, v in d.items() if k == "s" or not isinstance(v, dict)}
+        rows.append((i % 7, rng.choice([None, *range(20)]), i, None if i % 11 == 0 else json.dumps(d)))
+    df = spark.createDataFrame(rows, "g int, k int, i int, d string")
+    spec = {"p": "BIGINT", "$.s.u": "BIGINT", "q": "VARCHAR"}
+    sh = df.withColumn("j", C.shred("d", spec))
+    key = F.struct("k", "i")
+    out = A.merges(
+        sh,
+        ["g"],
+        a=A.Merge("d", key),
+        b=A.Merge("j", key, "min"),
+        c=A.Merge("j", key, "last", where=F.col("i") % 2 == 0, spec=spec),
+        e=A.Merge("d", key, where=F.lit(False)),
+    )
+    out = out.withColumn("c", C.reconstruct("c", spec)).collect()
+    want = {
+        "a": A.group_merge_max(df, ["g"], "d", key, "x"),
+        "b": A.group_merge_min(df, ["g"], "d", key, "x"),
+        "c": A.group_merge(df.where("i % 2 = 0"), ["g"], "d", [key], "x"),
+    }
+    for name, frame in want.items():
+        assert {r.g: r[name] for r in out} == {r.g: r.x for r in frame.collect()}
+    assert {r.e for r in out} == {None}
+    assert A.merges(sh.limit(0), ["g"], a=A.Merge("j", "k")).count() == 0
+
+
+def test_rows_in_any_order_give_the_winners_of_a_plain_comparison(spark, monkeypatch):
+    rng = random.Random(43)
+    rows = [(g, rng.choice([None, *range(6)]), json.dumps({f"x{rng.randrange(8)}": rng.randrange(5) for _ in range(rng.randint(0, 6))})) for g in range(6) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g int, k int, d string")
+    for largest in (True, False):
+        best = {}
+        for g, k, d in rows:
+            for path, v in json.loads(d).items():
+                rank = (k is not None, (k or 0) * (1 if largest else -1), str(v) if largest else "".join(chr(255 - ord(c)) for c in str(v)))
+                if (g, path) not in best or rank > best[g, path][0]:
+                    best[g, path] = (rank, v)
+        want = {}
+        for (g, path), (_, v) in best.items():
+            want.setdefault(g, {})[path] = v
+        for raw in (0, 3, 1000):
+            monkeypatch.setattr(A, "RAW", raw)
+            merge = A.group_merge_max if largest else A.group_merge_min
+            assert {r.g: json.loads(r.merged) for r in merge(df, ["g"], "d", "k").collect()} == want

@@ -168,3 +168,49 @@ def test_entries_of_shredded(both):
 def test_plain_column_is_its_own_text(both):
     rows = both.select("t", Reader(both, "j").plain.alias("w")).collect()
     assert all(r.w == (None if r.t is None else canonical(r.t)) for r in rows)
+
+
+def test_stored_tables_are_read_by_lanes_with_pushed_filters(spark, tmp_path):
+    from quillon import sources
+
+    rows = [(i, '{"k":%d,"name":"n%d","rest":{"x":%d}}' % (i, i % 5, i)) for i in range(4000)] + [(4000, '{"k":"odd","name":null}'), (4001, None)]
+    df = spark.createDataFrame(rows, "i int, d string").coalesce(1)
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    sources.write_shredded(df, one, "d", {"k": "BIGINT", "name": "VARCHAR"}, cluster_by=["k"], row_group_bytes=1 << 14)
+    sources.write_shredded(df, two, "d", {"name": "VARCHAR"})
+    docs = sources.read_documents(spark, one)
+    r = R.Reader(docs, "d", clean=False)
+    got = docs.where(r.where("k", "<", 7)).select("i", r.get_text("name").alias("n"))
+    assert sorted(map(tuple, got.collect())) == [(i, f"n{i % 5}") for i in range(7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "shreds.k" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "rest" not in plan and plan.count("ArrowEvalPython") <= 2
+    clean = docs.where("i < 4000")
+    assert R.prove_clean(clean, "d") and not R.prove_clean(docs, "d")
+    r = R.Reader(docs, "d", clean=True)
+    plan = docs.where(r.where("k", "<", 7)).groupBy(r.get_text("name")).count()._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "LessThan(d.shreds.k,7)" in plan.replace("`", "")
+    both = sources.read_documents(spark, one, two)
+    r = R.Reader(both, "d")
+    assert both.where(r.where("k", "<", 7)).count() == 14
+    assert both.select(r.plain.alias("p")).where('p = \'{"k":"odd","name":null}\'').count() == 2
+
+
+def test_shredding_is_evaluated_once(spark):
+    df = spark.createDataFrame([('{"k":1,"s":"x"}',)], "d string")
+    made = df.select(C.shred("d", {"k": "BIGINT"}).alias("j"))
+    r = R.Reader(made, "j")
+    got = made.where(r.where("k", ">", 0)).select(r.get("k", "BIGINT").alias("k"), r.get_text("s").alias("s"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("single(d#") == 1
+    assert [tuple(x) for x in got.collect()] == [(1, "x")]
+
+
+def test_scans_with_few_partitions_are_dealt_anew(spark, tmp_path):
+    from quillon import sources
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert sources.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = df.repartition(9)
+    assert sources.spread(many) is many
