@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.sources.scratch import columns_of, discard, scratch_root, table
+
+__all__ = ["columns_of", "discard", "scratch_root", "table"]
+
 #: Arrow batches that executors hand to Python hold at most so many bytes, whatever the length of a text.
 BATCH_BYTES = 4 * 1024 * 1024
 
@@ -46,42 +46,6 @@ def free_prefix(columns: list[str], base: str) -> str:
     return base
 
 
-def columns_of(df: DataFrame) -> list[Column]:
-    """All columns of df by name, dots and all."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """A folder for this application below spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="quillon-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quillon-{sc.applicationId}"
-
-
-def table(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: no lineage, and any executor may be lost.
-
-    A partitioned table has a folder per value of the column; filters on it leave the other folders unread.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    if not _scratch:  # registered after Spark's own handlers, so that it runs before them
-        atexit.unregister(drop_tables)
-        atexit.register(drop_tables)
-    _scratch.append((spark, path))
-    made = spark.read.schema(df.schema).parquet(path).select(*columns_of(df))
-    made._quillon_path = path
-    return made
-
-
 #: A key with more than the share of one in so many rows is hot; there are fewer hot keys than this, whatever the rows.
 HOT = 1000
 
@@ -101,32 +65,6 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, counts: DataFrame) ->
     return left.where(hot).join(F.broadcast(few), on).unionByName(left.where(~hot).join(right.where(~hot), on))
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more."""
-    for made in tables:
-        path = made._quillon_path
-        _scratch[:] = [x for x in _scratch if x[1] != path]
-        _delete(made.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def drop_tables() -> None:
-    """Removes the scratch tables made so far. Results that still read them must have been consumed."""
-    while _scratch:
-        owner, path = _scratch.pop()
-        try:
-            _delete(owner, path)
-        except Exception:  # noqa: BLE001  the session has ended; its folder is the cluster's to clean
-            return
-
-
 def release() -> None:
     """Gives what a worker has freed back to the machine; idle workers stay alive and would hold on to it."""
     pa.default_memory_pool().release_unused()
