@@ -26,9 +26,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Pairs whose signatures agree on a smaller share are not worth a look at the sets (5 deviations below the threshold).
 AGREE = 0.6
 #: Classes of a bucket whose sketches (about 700 bytes each) a task holds to compare others with.
-BLOCK = 1024
+BLOCK = 2048
 #: Classes of a bucket that are compared with one block by one task, one after the other.
-GUESTS = 1024
+GUESTS = 2048
 #: Classes whose whole sets a task holds to compare others with, and classes that it compares with them.
 SETS = 256
 #: Members of one first class that are confirmed together.
@@ -329,9 +329,10 @@ def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
     A bucket's classes are owned by blocks of about BLOCK. Those outside the component of its least class are guests of
     every block, in groups of about GUESTS, each of which meets what the block owns in a task of its own; a task holds
     what the block owns, and guests come one by one. Two classes are compared in the bucket of the first band that they share.
+    Signatures are fetched for the classes of buckets with several components alone.
     """
-    own = sigs.join(comps, "cls", "left").select("cls", "sig", "prints", "n", F.coalesce("comp", "cls").alias("comp"))
-    named = table(buckets.select("key", "cls").join(own, "cls"), "named")
+    named = buckets.select("key", "cls").join(comps, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    named = table(named, "named")
     per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("least"))
     mixed = (
         per.groupBy("key")
@@ -346,7 +347,8 @@ def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
         )
     )
     mixed = table(mixed, "mixed")
-    rows = skew_join(named, mixed.drop("m"), "key", mixed)
+    narrow = table(skew_join(named, mixed.drop("m"), "key", mixed), "mixed")
+    rows = narrow.join(sigs.select("cls", "sig", "prints", "n"), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     group = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")).cast("int")
     as_ = lambda i, j, guest: F.struct(i.alias("i"), j.alias("j"), F.lit(guest).alias("guest"))
@@ -408,7 +410,7 @@ def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
     found = map_batches(dealt, "ca binary, cb binary, a binary, b binary, agree double", compare)
     top = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
     best = table(top.select("ca", "cb", "p.a", "p.b"), "pairs")
-    discard(named, mixed)
+    discard(named, mixed, narrow)
     return best
 
 
