@@ -130,26 +130,35 @@ def reconstruct(document: Column | str, spec: dict | S.Spec) -> Column:
 # paths
 
 
+def _source(document: Column | str, steps: P.Path) -> tuple[Column, P.Path]:
+    """Where a read starts: one of what extract has made goes on from its document, as one read of the longer path."""
+    col = _col(document)
+    base, before = col.__dict__.get("_quillon_source", (col, ()))
+    return base, (*before, *steps)
+
+
 def extract(document: Column | str, path: str | int) -> Column:
-    """The document at a path, NULL if there is none."""
-    steps = P.of(path)
+    """The document at a path, NULL if there is none. Reads of an extracted document are fused into one parse."""
+    base, steps = _source(document, P.of(path))
 
     def at(text: str) -> str | None:
         v = P.get(canon.parse(text), steps)
         return None if v is P.MISSING else canon.render(v)
 
-    return _udf(TEXT, at, _col(document))
+    out = _udf(TEXT, at, base)
+    out._quillon_source = (base, steps)
+    return out
 
 
 def extract_string(document: Column | str, path: str | int) -> Column:
     """The text of the value at a path: strings bare, JSON null and nothing NULL, containers as JSON."""
-    steps = P.of(path)
+    base, steps = _source(document, P.of(path))
 
     def at(text: str) -> str | None:
         v = P.get(canon.parse(text), steps)
         return None if v is P.MISSING else canon.text_of(v)
 
-    return _udf(TEXT, at, _col(document))
+    return _udf(TEXT, at, base)
 
 
 def extract_strings(document: Column | str, paths: list[str | int]) -> Column:
@@ -345,26 +354,26 @@ def entries(document: Column | str, *, key_style: str = "jsonpath", array_style:
 
 def array_elements(document: Column | str, path: str | int | None = None) -> Column:
     """An array's elements as documents; NULL where there is no array."""
-    steps = () if path is None else P.of(path)
+    base, steps = _source(document, () if path is None else P.of(path))
 
     def at(text: str) -> list[str] | None:
         v = P.get(canon.parse(text), steps)
         return [canon.render(x) for x in v] if isinstance(v, list) else None
 
-    return _udf(TEXTS, at, _col(document))
+    return _udf(TEXTS, at, base)
 
 
 # introspection
 
 
 def _at(document: Column | str, path, kind: T.DataType, fn: Callable) -> Column:
-    steps = () if path is None else P.of(path, strict=isinstance(path, str) and path.startswith("$"))
+    base, steps = _source(document, () if path is None else P.of(path, strict=isinstance(path, str) and path.startswith("$")))
 
     def at(text: str):
         v = P.get(canon.parse(text), steps)
         return None if v is P.MISSING else fn(v)
 
-    return _udf(kind, at, _col(document))
+    return _udf(kind, at, base)
 
 
 def type_of(document: Column | str, path: str | int | None = None) -> Column:

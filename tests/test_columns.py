@@ -263,3 +263,16 @@ def test_sql_reads_shredded_documents(spark):
     assert view.columns == ["d", "j", "k", "s"]
     assert [tuple(r) for r in spark.sql("SELECT k, s FROM routed_docs WHERE k > 3").collect()] == [(7, "t")]
     assert sql.suggest(spark, "shredded_docs", "d", min_presence=0.1) is not None
+
+
+def test_chained_reads_are_one_parse(spark):
+    texts = ['{"a":{"b":[{"c":"x"},{"c":{"d":2.50}}]}}', '{"a":7}', '{"a":{"b":null}}', "[1]", None]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    a, b = C.extract("d", "a"), C.extract(C.extract("d", "a"), "$.b")
+    got = df.select(
+        C.extract_string(C.extract(b, 0), "c").alias("c"), C.extract(C.extract(b, 1), "$.c.d").alias("e"),
+        C.type_of(b).alias("t"), C.keys(a).alias("k"), C.array_length(b).alias("n"), F.size(C.array_elements(a, "b")).alias("m"),
+    )
+    plan = got.select("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(d#") == 1
+    assert [tuple(r) for r in got.collect()] == [("x", "2.50", "ARRAY", ["b"], 2, 2), (None, None, None, None, None, None), (None, None, "NULL", ["b"], None, None), *[(None,) * 6] * 2]
