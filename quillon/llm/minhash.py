@@ -35,6 +35,8 @@ SETS = 256
 SALT = 256
 #: Classes in pairs up to this many (about 60 bytes each) are broadcast to fetch their texts; more meet them in a join.
 BROADCAST_ROLES = 400_000
+#: Band keys that classes share, up to this many (about 50 bytes each), are broadcast; more meet the classes in a join.
+BROADCAST_KEYS = 1_000_000
 #: Links up to this many (32 bytes each) are united in one task; more by rounds of joins.
 ONE_TASK = 250_000
 
@@ -520,7 +522,8 @@ def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _Texts(docs, classes, bool(repeats.limit(1).count()))
     spread = classes.select("cls", F.explode("bands").alias("key"))
     shared = table(spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
-    buckets = table(skew_join(spread, shared.drop("m"), "key", shared), "buckets")
+    few = shared.count() <= BROADCAST_KEYS
+    buckets = table(spread.join(F.broadcast(shared.drop("m")), "key") if few else skew_join(spread, shared.drop("m"), "key", shared), "buckets")
     heads = table(buckets.groupBy("key").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("m")), "heads")
     buckets, single = table(skew_join(buckets, heads.drop("m"), "key", heads), "buckets"), buckets
     discard(shared, heads, single)

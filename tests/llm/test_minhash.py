@@ -84,6 +84,7 @@ def test_large_group_and_bounds(spark, monkeypatch):
     monkeypatch.setattr(M, "GUESTS", 8)
     monkeypatch.setattr(M, "SALT", 10)
     monkeypatch.setattr(M, "BROADCAST_ROLES", 0)
+    monkeypatch.setattr(M, "BROADCAST_KEYS", 0)
     out = M.near_dedup(frame(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute(rows)
 
